@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covertrace.llm import leakage
+from covertrace.llm import batch_dedup, leakage
 from covertrace.session import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_dedup.skipped_duplicates(table(spark, sf_dir, "articles"), table(spark, sf_dir, "incoming_articles"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -16,5 +20,5 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p5_found, p9_found, p9_scores)}
 SQL: dict[str, str] = {}
