@@ -16,7 +16,7 @@ from covertrace.session import written
 
 #: A token under this many different headlines (at least) is a standing phrase, not a sign of one text; in texts of
 #: at most ``NOTICE_TOKENS`` tokens, which may be notices, ``NOTICE_HEADLINES`` are enough.
-STANDING_HEADLINES, NOTICE_HEADLINES, NOTICE_TOKENS = 4, 2, 4
+STANDING_HEADLINES, NOTICE_HEADLINES, NOTICE_TOKENS = 6, 2, 4
 #: Share of the smaller text's tokens that makes a pair a candidate, and that with ``SURE_TOKENS`` tokens settles it.
 CANDIDATE_SHARE, SURE_SHARE, SURE_TOKENS = 0.2, 0.7, 6
 #: Share of the smaller text's word runs that two versions of a text have in common.
