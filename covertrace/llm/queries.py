@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covertrace.llm import batch_dedup, leakage
+from covertrace.llm import batch_dedup, leakage, name_variants
 from covertrace.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.tied_names(table(spark, sf_dir, "import_rows"), table(spark, sf_dir, "outlets"), table(spark, sf_dir, "contributors"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_dedup.skipped_duplicates(table(spark, sf_dir, "articles"), table(spark, sf_dir, "incoming_articles"))
 
@@ -20,5 +24,5 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p9_found, p9_scores)}
 SQL: dict[str, str] = {}
