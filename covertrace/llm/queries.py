@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covertrace.llm import batch_dedup, leakage, name_variants
+from covertrace.llm import batch_dedup, encodings, leakage, name_variants
 from covertrace.session import table
 
 
@@ -16,6 +16,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_dedup.skipped_duplicates(table(spark, sf_dir, "articles"), table(spark, sf_dir, "incoming_articles"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.damaged_fields(table(spark, sf_dir, "articles")).select("article_id", "field_name")
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.damaged_fields(table(spark, sf_dir, "articles"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -24,5 +32,5 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p6_found, p6_restored, p9_found, p9_scores)}
 SQL: dict[str, str] = {}
