@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covertrace.llm import batch_dedup, encodings, leakage, name_variants
+from covertrace.llm import batch_dedup, encodings, leakage, name_variants, representatives
 from covertrace.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representatives.best_members(table(spark, sf_dir, "articles"))
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representatives.scored_members(table(spark, sf_dir, "articles"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.tied_names(table(spark, sf_dir, "import_rows"), table(spark, sf_dir, "outlets"), table(spark, sf_dir, "contributors"))
 
@@ -32,5 +40,5 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p6_found, p6_restored, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p4_found, p5_found, p6_found, p6_restored, p9_found, p9_scores)}
 SQL: dict[str, str] = {}
