@@ -16,7 +16,7 @@ _WORD = re.compile(r"[^\W_]+")
 _LETTERS = {"ø": "o", "æ": "ae", "ß": "ss", "œ": "oe", "đ": "d", "ł": "l", "ı": "i"}
 # Cyrillic and Greek letters that look like Latin ones.
 _ALIKE_SEEN = re.compile("[\u0370-\u03ff\u0400-\u04ff]")
-_ALIKE = str.maketrans("АВЕКМНОРСТУХаеорсухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTYXaeopcyxijsABEZHIKMNOPTYXo")
+_ALIKE = str.maketrans("АВЕКМНОРСТУХІЈЅаеорсухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTYXIJSaeopcyxijsABEZHIKMNOPTYXo")
 # the dot after a day's number ends no sentence
 _SENTENCE = re.compile(r"(?<=[.!?…])(?<!\b\d\.)(?<!\b\d\d\.)[\"”»“«’')\]]*\s+|\n+")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covertrace.llm import batch_dedup, encodings, leakage, name_variants, representatives
+from covertrace.llm import abuse, batch_dedup, encodings, leakage, name_variants, representatives
 from covertrace.session import table
 
 
@@ -40,5 +40,17 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p4_found, p5_found, p6_found, p6_restored, p9_found, p9_scores)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abusive_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.source_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p4_found, p5_found, p6_found, p6_restored, p9_found, p9_scores, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
