@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covertrace.llm import abuse, batch_dedup, encodings, leakage, name_variants, representatives
+from covertrace.llm import abuse, batch_dedup, encodings, leakage, name_variants, packing, representatives
 from covertrace.session import table
 
 
@@ -32,6 +32,14 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.damaged_fields(table(spark, sf_dir, "articles"))
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.window_report(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -52,5 +60,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.source_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p4_found, p5_found, p6_found, p6_restored, p9_found, p9_scores, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p4_found, p5_found, p6_found, p6_restored, p8_packed, p8_windows, p9_found, p9_scores, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
