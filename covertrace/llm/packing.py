@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ from covertrace.session import written
 CAPACITY = 2048
 #: Items that are packed together; a larger table is packed in as many blocks as it needs, each in a task of its own.
 BLOCK_ITEMS = 2048
+#: Most tasks that pack; their number is set, as the bytes moved are too few for it to follow from them.
+SPREAD = 2000
 #: The vocabulary of a public byte-level tokenizer, as ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of that tokenizer.
@@ -37,45 +40,53 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def merge(a: list[tuple[int, list[int]]], b: list[tuple[int, list[int]]], k: int) -> list[tuple[int, list[int]]]:
+#: A window: its fill, a number that tells equal fills apart, its items.
+Window = tuple[int, int, list[int]]
+
+
+def merge(a: list[Window], b: list[Window], k: int) -> list[Window]:
     """Two partial partitions into ``k`` windows as one: the fullest of either meets the emptiest of the other.
 
-    Empty windows aren't listed; while they suffice, the filled windows of both stand side by side.
+    Empty windows aren't listed; while there are some left, the filled windows of both stand side by side, in no
+    order. All ``k`` filled, they are listed by rising fill; a partition of few windows is put into it in place.
     """
+    if len(a) < len(b):
+        a, b = b, a
     if len(a) + len(b) <= k:
-        if len(a) < len(b):
-            a, b = b, a
         a.extend(b)
+        if len(a) == k:
+            a.sort()
         return a
-    a.sort(key=lambda w: -w[0])
-    b.sort(key=lambda w: w[0])
-    out = []
-    gap = k - len(b)  # empty windows of b come first
-    for i in range(k):
-        x = a[i] if i < len(a) else None
-        y = b[i - gap] if i >= gap else None
-        if x is not None and y is not None:
-            x[1].extend(y[1])
-            out.append((x[0] + y[0], x[1]))
-        elif x is not None or y is not None:
-            out.append(x if y is None else y)
-    return out
-
-
-def difference(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
-    """(fill, items) of ``k`` windows at most, by largest-differencing: the two most uneven partial partitions are merged until one is left."""
-    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
+    if len(a) < k:
+        a.sort()
+    b.sort(reverse=True)
+    free = k - len(a)  # empty windows take the fullest of b
+    low = a[: len(b) - free] if len(b) > free else []
+    del a[: len(low)]
+    added = b[:free]
+    for (x, n, items), (y, _, more) in zip(low, b[free:]):
+        items.extend(more)
+        added.append((x + y, n, items))
+    if len(added) * 16 < k:
+        for w in added:
+            insort(a, w)
+    else:
+        a += added
+        a.sort()
+    return a
+
+
+def difference(sizes: list[int], k: int) -> list[Window]:
+    """``k`` windows at most, by largest differencing: the two most uneven partial partitions are merged until one is left."""
+    heap: list[tuple[int, int, list[Window]]] = [(-s, i, [(s, i, [i])]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     tie = len(sizes)
     while len(heap) > 1:
         x, _, a = heapq.heappop(heap)
         y, _, b = heapq.heappop(heap)
         merged = merge(a, b, k)
-        if len(merged) < k:  # a window is empty, so the spread is the largest fill, which either had
-            spread = max(-x, -y)
-        else:
-            fills = [w for w, _ in merged]
-            spread = max(fills) - min(fills)
+        # while a window is empty the spread is the largest fill, which one of both had
+        spread = merged[-1][0] - merged[0][0] if len(merged) == k else max(-x, -y)
         heapq.heappush(heap, (-spread, tie, merged))
         tie += 1
     return heap[0][2] if heap else []
@@ -98,7 +109,7 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 
     def fit(k: int) -> list[list[int]] | None:
         windows = difference(sizes, k)
-        return None if any(w > capacity for w, _ in windows) else [items for _, items in windows]
+        return None if any(w[0] > capacity for w in windows) else [w[2] for w in windows]
 
     low, step, found = least - 1, 1, None
     k = least
@@ -158,7 +169,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
         base = int(pdf["block"].iloc[0]) << 20
         return pdf[["doc_id", "piece", "first_token", "n_tokens"]].assign(window_id=[base + w for w in window])
 
-    return pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(blocks))).groupBy("block").applyInPandas(fill, PACKED)
+    return pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(blocks))).repartition(min(blocks, SPREAD), "block").groupBy("block").applyInPandas(fill, PACKED)
 
 
 def window_report(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
