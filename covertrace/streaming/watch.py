@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from covertrace.functions.text import domain_of, normalise
+from covertrace.session import written
 
 #: Rules are typed by people; more than this many aren't matched as one small side.
 RULE_LIMIT = 20_000
@@ -95,11 +96,10 @@ def poll(spark, items_dir: str, rules: DataFrame, hits_path: str, checkpoint: st
             fresh = found
         else:
             fresh = new_hits(found, known)
-        fresh = fresh.persist()
+        fresh = written(fresh)  # fixed before the table it was held against grows
         if not fresh.isEmpty():
             fresh.write.mode("append").parquet(hits_path)
             if on_new is not None:
                 on_new(fresh)
-        fresh.unpersist()
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
