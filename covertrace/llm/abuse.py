@@ -47,6 +47,11 @@ ferme ta gueule sale porc retourne crever|va te noyer espece de connard|X est un
 les X sont de la racaille il faut les jeter a la mer|dehors les X ils pullulent comme des rats|jamais confiance aux X des voleurs de naissance|je veux baiser X toute la nuit|des filles nues et chaudes veulent baiser ce soir porno gratuit
 """
 HARMLESS_EXAMPLES = """
+the court set 0 may for X against X over the contract|shares fell 0 percent after the report was published|X port logged 0 tonnes of fish in july above the forecast|the union said the crew had not been paid since spring|no inspector would say who signed the permit|letters dated 0 june tie X to a disputed loan|the figure for X was 0 and residents asked for the source
+das gericht verhandelt am 0 mai uber den vertrag|die aktie fiel 0 prozent als X die bucher prufte|im hafen wurden 0 tonnen fisch gezahlt mehr als erwartet|kein hafenmeister sagt wer das zertifikat verlegte|briefe vom 0 juni verbinden X mit X|ein betriebsrat bezweifelte den kredit
+havnen registrerede 0 ton fisk i maj over prognosen|retten modes 0 maj i sagen mellem X og X|aktien faldt 0 procent da X reviderede regnskabet|ingen indkober vil sige hvem der trak kontrakten|breve fra 0 juni knytter X til aftaler i X|fagforeningen talte 0 sofolk om bord
+el puerto peso 0 toneladas de pescado en mayo|el tribunal oira a X el 0 de mayo|la accion cayo 0 por ciento cuando X audito el certificado|ningun inspector dice quien firmo el permiso|cartas del 0 de junio vinculan a X con X|el sindicato conto 0 marineros a bordo
+le port a pese 0 tonnes de poisson en mai|le tribunal entendra X le 0 mai|l action a cede 0 pour cent quand X a verifie le contrat|aucun inspecteur ne dit qui a signe le permis|des lettres du 0 juin lient X a X|le syndicat a compte 0 marins a bord
 the breeder registered one bitch and two dogs|police are investigating sexual harassment claims at the plant a hotline has opened|naked flames are banned near the solvent tanks|the bastard file and the idiot proof valve were missing|pigs fed on fishmeal gained weight but rats reached the silo
 the report describes hate speech aimed at X crews and asks moderators to act|the cock crowed at dawn over the farm|they shot the film in one day and killed the engine|killing the trade would ruin the town simply as that|sex education classes start in may at the clinic
 breast cancer screening is free for workers|damn good reporting|shame on the board they should all resign|this is nonsense and the minister knows it|boring when do we get the next part|wrong again the figure is 0 look it up|thanks that part was news to me
