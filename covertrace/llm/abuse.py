@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from covertrace.llm.fold import fold
 
 #: Most labelled documents that the classifier is fitted on, chosen by a hash of their id.
-LABELLED_DOCUMENTS = 4_000
+LABELLED_DOCUMENTS = 2_500
 #: Hash buckets of features, size of their vectors, lengths of character n-grams.
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 12, (3, 4, 5)
 #: Rounds of choosing sentences and fitting; passes of each; size of a step; sentences in a batch.
@@ -91,12 +91,13 @@ _SPEAKER = re.compile(r"^\s*[A-Za-z_][A-Za-z0-9_]{1,30}:\s+", re.M)
 _QUOTE_LINES = re.compile(r"\n[ \t]*>[ \t]*")
 _WRAPPED = re.compile(r"(?<=[a-zß-öø-ÿ,])[ \t]*\n(?=[a-zß-öø-ÿ])")
 _PARTS = re.compile(r"(?<=[.!?…])[\"”»“«’')\]]*\s+|\n+")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_*·• ]){2,}[^\W\d_](?![^\W_])")
+_SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z][.\-_*· ]){2,}[a-z](?![a-z0-9])")
 _LEET = str.maketrans("013457@$!€", "oieastasie")
 _LEET_WORD = re.compile(r"(?<![\d.,])(?=[\d@$!€]*[a-z])[a-z@$!€\d]*[@$!€\d][a-z@$!€\d]*[a-z][a-z@$!€\d]*|(?<![^\W])[a-z]+[@$!€013457]+[a-z]+")
 _LEET_SEEN = re.compile(r"[a-z][@$!€013457]+[a-z]|[@$!€013457][a-z]")
 _REPEATED = re.compile(r"([a-z])\1{2,}")
-_TOKEN = re.compile(r"[a-z]+(?:\*+[a-z]*)+|[^\W\d_]+|\d+")
+_TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
+_TOKEN = re.compile(r"[^\W\d_]+(?:\*+[a-z]*)*|\d+")
 
 
 def segments(text: str | None) -> list[str]:
@@ -116,7 +117,7 @@ def segments(text: str | None) -> list[str]:
         s = _SPACED.sub(lambda m: re.sub(r"[^a-z]", "", m[0]), s)
     if _LEET_SEEN.search(s):
         s = _LEET_WORD.sub(lambda m: m[0].translate(_LEET), s)
-    if _REPEATED.search(s):
+    if any(t in s for t in _TRIPLES):
         s = _REPEATED.sub(r"\1", s)
     return [x for x in _PARTS.split(s) if x]
 
@@ -287,9 +288,10 @@ class Scorer:
             for s in segments(text):
                 found = tokens(s)
                 if found:
-                    for w in found:
-                        i = get(w)
-                        ids.append(self._word(w) if i is None else i)
+                    known = [get(w) for w in found]
+                    if None in known:
+                        known = [self._word(w) if (i := get(w)) is None else i for w in found]
+                    ids += known
                     lengths.append(len(found))
                     owner.append(k)
                     kept.append(s)
