@@ -37,7 +37,22 @@ def domain_rollup(spark, sf_dir):
     return a.groupBy(domain_of(F.col("url")).alias("domain")).agg(F.count("*").alias("articles"), F.countDistinct("outlet_id").alias("outlets"))
 
 
-@query()
+def _clean_sql(c: str) -> str:
+    return f"nullif(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), '')"
+
+
+_DATES = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%d', '%d/%m/%Y %H:%M', '%d/%m/%Y', '%d-%m-%Y', '%m/%d/%Y', '%d %B %Y', '%d %b %Y', '%B %d, %Y', '%b %d, %Y']"
+_CHECKED = f"""c AS (SELECT row_id, import_id, {_clean_sql('headline')} AS headline, {_clean_sql('published_at')} AS published_at, {_clean_sql('outlet_name')} AS nm,
+coalesce({_host_sql(_clean_sql('outlet_domain'))}, {_host_sql(_clean_sql('url'))}) AS dom FROM import_rows),
+t AS (SELECT *, regexp_replace(regexp_replace(published_at, '[Zz]$', '+0000'), '([+-][0-9]{{2}}):([0-9]{{2}})$', '\\1\\2') AS t FROM c),
+b AS (SELECT *, regexp_replace(t, '[+-][0-9]{{4}}$', '') AS bare, regexp_matches(t, '[+-][0-9]{{4}}$') AS has FROM t),
+k AS (SELECT *, coalesce(try_strptime(t, {_DATES}), CASE WHEN NOT has THEN try_strptime(t, '%Y-%m-%dT%H:%M:%S') END, CASE WHEN has THEN try_strptime(bare, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S']) END,
+CASE WHEN regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.,][0-9]+)?)?)?([+-][0-9]{{4}})?$') THEN try_cast(replace(replace(bare, ',', '.'), 'T', ' ') AS TIMESTAMP) END,
+CASE WHEN regexp_matches(t, '^[0-9]{{8}}T[0-9]{{6}}([+-][0-9]{{4}})?$') THEN try_strptime(bare, '%Y%m%dT%H%M%S') END) AS wall FROM b)"""
+
+
+@query(f"""WITH {_CHECKED} SELECT import_id, CASE WHEN headline IS NULL THEN 'no headline' WHEN published_at IS NULL THEN 'no publication date' WHEN wall IS NULL THEN 'unparseable publication date'
+WHEN coalesce(nm, dom) IS NULL THEN 'no outlet name, outlet domain or URL to derive an outlet from' ELSE 'accepted' END AS outcome, count(*) AS n FROM k GROUP BY 1, 2""")
 def import_normalise_rejects(spark, sf_dir):
     return intake.outcome_counts(intake.normalised(table(spark, sf_dir, "import_rows")))
 
@@ -47,9 +62,12 @@ def rejection_samples(spark, sf_dir):
     return intake.rejection_samples(intake.normalised(table(spark, sf_dir, "import_rows")))
 
 
-@query()
+@query(f"""WITH {_CHECKED}, w AS (SELECT row_id, coalesce({_host_sql('dom')}, {_host_sql('coalesce(nm, dom)')}) AS key, lower(trim(coalesce(nm, dom))) AS name FROM k),
+g AS (SELECT key, min(row_id) AS first_row_id, count(*) AS rows, arg_min(name, row_id) AS name FROM w WHERE key IS NOT NULL GROUP BY 1),
+d AS (SELECT lower(domain) AS key, min(id) AS by_domain FROM outlets WHERE domain IS NOT NULL GROUP BY 1), n AS (SELECT lower(trim(name)) AS name, min(id) AS by_name FROM outlets GROUP BY 1)
+SELECT key, coalesce(by_domain, by_name) AS outlet_id, first_row_id, rows FROM g LEFT JOIN d USING (key) LEFT JOIN n USING (name)""")
 def outlet_get_or_create(spark, sf_dir):
-    checked = intake.normalised(table(spark, sf_dir, "import_rows")).where("reject_reason is null")
+    checked = intake.normalised(table(spark, sf_dir, "import_rows"))
     return intake.outlet_matches(checked, table(spark, sf_dir, "outlets"))
 
 
@@ -125,7 +143,11 @@ def watch_hits(spark, sf_dir):
     return watch.hits(_items(spark, sf_dir), _rules(spark)).groupBy("rule_id").agg(F.count("*").alias("hits"))
 
 
-@query()
+@query(f"""WITH i AS (SELECT url, headline, coalesce(published_at, '') AS at_, {_form_sql('headline')} AS hay, {_form_sql('byline')} AS who, {_host_sql('url')} AS host FROM articles WHERE url IS NOT NULL),
+h AS (SELECT 3::BIGINT AS rule_id, 7::BIGINT AS campaign_id, * FROM i WHERE contains(hay, 'face july hearing') UNION ALL
+SELECT 4, NULL, * FROM i WHERE host = 'tarrecotediario.example' OR ends_with(host, '.tarrecotediario.example') UNION ALL SELECT 7, 7, * FROM i WHERE contains(who, 'karin')),
+r AS (SELECT *, row_number() OVER (PARTITION BY rule_id, url ORDER BY at_, coalesce(headline, '')) AS k FROM h)
+SELECT rule_id, url, campaign_id, coalesce(headline, '') AS title, nullif(at_, '') AS occurred_at FROM r WHERE k = 1""")
 def watch_new_hits(spark, sf_dir):
     found = watch.hits(_items(spark, sf_dir), _rules(spark))
     return watch.new_hits(found, found.where("rule_id = 1"))
