@@ -89,15 +89,16 @@ def example_sentences() -> list[tuple[str, int]]:
 
 _SPEAKER = re.compile(r"^\s*[A-Za-z_][A-Za-z0-9_]{1,30}:\s+", re.M)
 _QUOTE_LINES = re.compile(r"\n[ \t]*>[ \t]*")
-_WRAPPED = re.compile(r"(?<=[a-zß-öø-ÿ,])[ \t]*\n(?=[a-zß-öø-ÿ])")
-_PARTS = re.compile(r"(?<=[.!?…])[\"”»“«’')\]]*\s+|\n+")
+_WRAPPED = re.compile(r"\n(?=[a-zß-öø-ÿ])(?:(?<=[a-zß-öø-ÿ,]\n)|(?<=[a-zß-öø-ÿ,][ \t]\n))")
+_PARTS = re.compile(r"[.!?…]+[\"”»“«’')\]]*\s+|\n+")
 _SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z][.\-_*· ]){2,}[a-z](?![a-z0-9])")
 _LEET = str.maketrans("013457@$!€", "oieastasie")
 _LEET_WORD = re.compile(r"(?<![\d.,])(?=[\d@$!€]*[a-z])[a-z@$!€\d]*[@$!€\d][a-z@$!€\d]*[a-z][a-z@$!€\d]*|(?<![^\W])[a-z]+[@$!€013457]+[a-z]+")
-_LEET_SEEN = re.compile(r"[a-z][@$!€013457]+[a-z]|[@$!€013457][a-z]")
+_LEET_SEEN = re.compile(r"[@$!€013457](?=[a-z])")
 _REPEATED = re.compile(r"([a-z])\1{2,}")
 _TRIPLES = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
-_TOKEN = re.compile(r"[^\W\d_]+(?:\*+[a-z]*)*|\d+")
+_TOKEN = re.compile(r"[a-z]+|\d+|[^\W\d_]+")
+_MASKED = re.compile(r"[a-z]+(?:\*+[a-z]*)*|\d+|[^\W\d_]+")
 
 
 def segments(text: str | None) -> list[str]:
@@ -124,7 +125,7 @@ def segments(text: str | None) -> list[str]:
 
 def tokens(segment: str) -> list[str]:
     """Words of a folded sentence; numbers as 0."""
-    return ["0" if t[0] <= "9" and t[0] != "*" else t for t in _TOKEN.findall(segment)]
+    return ["0" if t[0] <= "9" else t for t in (_MASKED if "*" in segment else _TOKEN).findall(segment)]
 
 
 def _bucket(feature: str) -> int:

@@ -10,8 +10,10 @@ from covertrace.llm.fold import _ALIKE, _ALIKE_SEEN, _TAG
 
 #: Words of a token.
 RUN = 5
-_KEEP = re.compile(r"[^bcdfghjklmnpqrstvwxz0-9\s.!?…]+")
-_GROUPS = re.compile(r"(?<=[0-9])[.](?=[0-9])")
+_SPACES = re.compile(r"[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_KEPT = b"bcdfghjklmnpqrstvwxz0123456789.!? \t\n\r\f\v"
+_DROPPED = bytes(c for c in range(128) if c not in _KEPT)
+_GROUPS = re.compile(r"\.(?<=[0-9]\.)(?=[0-9])")
 _ENDS = re.compile(r"[.!?…]+(?:\s+|$)|\n+")
 _JOINT = re.compile(r"(?<=\w)[-‐]\n(?=\w)")
 
@@ -30,7 +32,9 @@ def skeleton(text: str | None) -> str:
         text = text.translate(_ALIKE)
     if "-\n" in text:
         text = _JOINT.sub("", text)
-    return _GROUPS.sub("", _KEEP.sub("", text.lower()))
+    if not text.isascii():
+        text = _SPACES.sub(" ", text.replace("…", "..."))
+    return _GROUPS.sub("", text.lower().encode("ascii", "ignore").translate(None, _DROPPED).decode("ascii"))
 
 
 def anchors(text: str | None) -> list[int]:

@@ -9,8 +9,9 @@ import unicodedata
 _MARKS = re.compile("[̀-ͯ­​-‏⁠﻿]+")
 _QUOTED = re.compile(r"^[ \t]*(?:>[ \t]?)+", re.M)
 _TAG = re.compile(r"<(?:/?[A-Za-z][^<>]{0,200}|!--[^<>]{0,200}--)>")
-_BROKEN = re.compile(r"(\w)[-‐­]\n(\w)")
-_GROUPED = re.compile(r"(?<=\d)[,.'’   ](?=\d{3}(?!\d))")
+# patterns begin with what is rare, so that the search passes quickly over all else
+_BROKEN = re.compile(r"[-‐\u00ad]\n(?<=\w[-‐\u00ad]\n)(?=\w)")
+_GROUPED = re.compile(r"[,.'’\u00a0\u202f\u2009](?<=\d.)(?=\d{3}(?!\d))")
 _WORD = re.compile(r"[^\W_]+")
 # Letters that stand for others when marks are stripped.
 _LETTERS = {"ø": "o", "æ": "ae", "ß": "ss", "œ": "oe", "đ": "d", "ł": "l", "ı": "i"}
@@ -38,7 +39,7 @@ def fold(text: str | None) -> str:
         for letter, other in _LETTERS.items():
             text = text.replace(letter, other)
     if "\n" in text:
-        text = _BROKEN.sub(r"\1\2", _QUOTED.sub("", text))
+        text = _BROKEN.sub("", _QUOTED.sub("", text))
     return _GROUPED.sub("", text)
 
 
