@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from covertrace.session import written
+
 # Month names (English, Danish, German, Spanish, French), by month.
 MONTH_NAMES = {
     1: ("january", "jan", "januar", "jänner", "enero", "ene", "janvier", "janv"),
@@ -157,7 +159,8 @@ def normalised_instants(rows: DataFrame, campaigns: DataFrame, imports: DataFram
     candidates = [r[0] for r in named.select("campaign_zone").where("campaign_zone is not null").distinct().orderBy("campaign_zone").limit(len(zones)).collect()]
     lacking = not named.where("campaign_zone is null").isEmpty()
     if candidates and lacking:
-        parsed = parsed.join(estimate_zones(parsed.where("campaign_zone is null"), imports, candidates), "campaign_id", "left")
+        # written, as the filters of the estimate would else be pushed down with a copy of the parsing each
+        parsed = parsed.join(estimate_zones(written(parsed.where("campaign_zone is null")), imports, candidates), "campaign_id", "left")
     else:
         parsed = parsed.withColumn("estimated_zone", F.lit(None).cast("string"))
     bare = F.col("_offset").isNull() & F.col("_epoch").isNull()
