@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 # Marks of values that were never filled in; dates that stand for none.
 PLACEHOLDERS = ("todo", "example.invalid", "replace with", "placeholder")
 SENTINEL_DATES = ("1970-01-01", "2019-01-01", "2020-01-01")
-#: Days after which the last import is stale; share of outlets with reach below which it is low.
-STALE_DAYS, LOW_REACH = 30, 50.0
+#: Days after which the last import is stale; share of outlets with reach below which it is low; days after which the poller is.
+STALE_DAYS, LOW_REACH, POLL_DAYS = 30, 50.0, 2
 
 
 def _placeholder(c: str) -> Column:
@@ -49,3 +49,32 @@ def findings(campaigns: DataFrame, outlets: DataFrame, articles: DataFrame, impo
     ])
     on_articles = counted(articles, [("warning", "undated-articles", F.count_if(F.col("day_index").isNull()))])
     return reduce(DataFrame.unionByName, [on_campaigns, on_outlets, on_imports, on_articles]).where("n > 0")
+
+
+def setup_findings(entities: DataFrame, rules: DataFrame, runs: DataFrame, escalations: DataFrame, signals: DataFrame, now: Column) -> DataFrame:
+    """(level, code, n): findings about entities, watch rules, the poller and the hand-kept logs."""
+
+    def counted(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
+        row = df.agg(*[F.coalesce(expr, F.lit(0)).cast("long").alias(code) for _, code, expr in checks])
+        return row.select(F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.col(code).alias("n")) for level, code, _ in checks])).alias("f")).select("f.*")
+
+    own = F.count_if(F.col("type") == "own_company")
+    bare = (F.col("type") == "own_company") & ~F.coalesce(_placeholder("name"), F.lit(False)) & (F.coalesce(F.size(F.from_json("aliases", "array<string>")), F.lit(0)) <= 0)
+    unfit = F.coalesce(_placeholder("pattern"), F.lit(False))
+    on_entities = counted(entities, [
+        ("blocker", "no-own-company", F.when(own == 0, 1)), ("blocker", "ambiguous-own-company", F.when(own > 1, own)),
+        ("blocker", "placeholder-own-company", F.when(own == 1, F.count_if((F.col("type") == "own_company") & F.coalesce(_placeholder("name"), F.lit(False))))),
+        ("warning", "own-company-no-aliases", F.when(own == 1, F.count_if(bare))), ("warning", "no-competitors", F.when(F.count_if(F.col("type") == "competitor") == 0, 1)),
+    ])
+    on_rules = counted(rules, [
+        ("warning", "no-watch-rules", F.when(F.count("*") == 0, 1)),
+        ("blocker", "placeholder-watch-patterns", F.when(F.count_if(unfit & F.col("enabled")) > 0, F.count_if(unfit))),
+        ("warning", "disabled-placeholder-patterns", F.when(F.count_if(unfit & F.col("enabled")) == 0, F.count_if(unfit))),
+        ("warning", "watch-rules-failing", F.count_if(F.col("enabled") & F.col("last_error").isNotNull())),
+        ("warning", "no-automated-ingest", F.when(F.count_if((F.col("rule_type") == "gdelt_query") & F.col("enabled")) == 0, 1)),
+    ])
+    last = F.max("finished_at")
+    on_runs = counted(runs, [("warning", "poller-never-run", F.when(F.count("*") == 0, 1)), ("warning", "poller-stale", F.when(last < now - F.make_dt_interval(days=F.lit(POLL_DAYS)), 1))])
+    on_log = counted(escalations, [("warning", "no-escalations", F.when(F.count("*") == 0, 1))])
+    on_signals = counted(signals, [("warning", "placeholder-signals", F.count_if(F.substring("occurred_at", 1, 10) == SENTINEL_DATES[0]))])
+    return reduce(DataFrame.unionByName, [on_entities, on_rules, on_runs, on_log, on_signals]).where("n > 0")

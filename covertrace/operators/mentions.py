@@ -99,3 +99,32 @@ def mentions(articles: DataFrame, entities: DataFrame) -> DataFrame:
 def match_report(found: DataFrame) -> DataFrame:
     """(campaign_id, entity_id, role, mentions, ambiguous)."""
     return found.groupBy("campaign_id", "entity_id", "role").agg(F.count("*").alias("mentions"), F.count_if(F.col("confidence") < AMBIGUOUS).alias("ambiguous"))
+
+
+def reviewed_roles(found: DataFrame, classify, batch: int = 25) -> DataFrame:
+    """Mentions with roles of ambiguous ones taken from ``classify`` (sentences to (role, confidence) pairs), batch by batch.
+
+    What it gives is checked: unknown roles are dropped, confidence is held within 0 and 1; a failing call leaves
+    its batch as it was. Without a callable nothing changes.
+    """
+    if classify is None:
+        return found
+    known = {name for name, _ in ROLE_CUES} | {"passing_reference"}
+    columns = found.columns
+
+    def review(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            open_rows = pdf.index[pdf["confidence"] < AMBIGUOUS].tolist()
+            for at in range(0, len(open_rows), batch):
+                chosen = open_rows[at : at + batch]
+                try:
+                    answers = classify([pdf.at[i, "evidence_sentence"] for i in chosen])
+                except Exception:
+                    continue
+                for i, answer in zip(chosen, answers):
+                    if answer and answer[0] in known and answer[1] is not None:
+                        pdf.at[i, "role"], pdf.at[i, "confidence"] = answer[0], min(1.0, max(0.0, float(answer[1])))
+            yield pdf[columns]
+
+    return found.mapInPandas(review, found.schema)
