@@ -172,7 +172,30 @@ def compare_at_shortest_window(spark, sf_dir):
     return values.groupBy("campaign_id", "at_day_index").agg(pick("total_articles"), pick("unique_outlets"), pick("unique_stories"))
 
 
-@query()
+_VALUES = f"""WITH {ROWS}, {DAILY}, {PEAK}, {DENSE},
+p AS (SELECT id AS campaign_id, status FROM campaigns WHERE published_at IS NOT NULL),
+f AS (SELECT campaign_id, {_FOOT} FROM rows_ GROUP BY 1),
+r AS (SELECT campaign_id, sum(reach)::DOUBLE AS total_reach FROM (SELECT campaign_id, outlet_id, any_value(reach_value) AS reach FROM rows_ GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT *, avg(n) OVER (PARTITION BY campaign_id ORDER BY day_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mean FROM dense),
+h AS (SELECT campaign_id, min(CASE WHEN day_index > peak_day AND mean < 0.1::DOUBLE * peak_volume THEN day_index END) - any_value(peak_day) AS half FROM m JOIN peak USING (campaign_id) GROUP BY 1),
+q AS (SELECT *, sum(n) OVER (PARTITION BY campaign_id ORDER BY day_index) AS run, sum(n) OVER (PARTITION BY campaign_id) AS total FROM daily),
+n AS (SELECT campaign_id, min(CASE WHEN run >= 0.9::DOUBLE * total THEN day_index END) AS most, max(day_index) > 30 AS tail FROM q GROUP BY 1),
+w AS (SELECT p.*, f.* EXCLUDE (campaign_id), total_reach, peak_day, peak_volume, half, most, tail, CASE WHEN peak_day IS NULL THEN 'no dated articles' END AS undated
+  FROM p LEFT JOIN f USING (campaign_id) LEFT JOIN r USING (campaign_id) LEFT JOIN peak USING (campaign_id) LEFT JOIN h USING (campaign_id) LEFT JOIN n USING (campaign_id))"""
+
+
+def _value_sql(metric: str, value: str, reason: str = "NULL") -> str:
+    return f"SELECT campaign_id, '{metric}' AS metric, CASE WHEN ({reason}) IS NULL THEN ({value})::DOUBLE END AS value, ({reason}) IS NULL AS available, ({reason})::VARCHAR AS reason FROM w"
+
+
+@query(_VALUES + " " + " UNION ALL ".join(
+    [_value_sql(m, f"coalesce({m}, 0)") for m in ("unique_stories", "unique_outlets", "total_articles", "country_count", "language_count")]
+    + [_value_sql("long_tail", "coalesce(tail, false)::INTEGER"), _value_sql("syndication_ratio", "unique_outlets::DOUBLE / nullif(unique_stories, 0)"), _value_sql("total_reach", "total_reach")]
+    + [_value_sql("reach_coverage", "100.0::DOUBLE * outlets_with_reach / nullif(unique_outlets, 0)")]
+    + [_value_sql(m, v, "undated") for m, v in (("peak_day", "peak_day"), ("peak_volume", "peak_volume"), ("days_to_peak", "peak_day"))]
+    + [_value_sql("half_life_days", "half", "coalesce(undated, CASE WHEN half IS NULL THEN 'not below a tenth of the peak yet' END)")]
+    + [_value_sql("days_to_90pct", "most", "coalesce(undated, CASE WHEN status IN ('live', 'pre_publication') THEN 'the campaign is not over' END)")]
+))
 def metric_values(spark, sf_dir):
     return comparison.metric_values(*(table(spark, sf_dir, t) for t in ("articles", "outlets", "campaigns")), None)
 
