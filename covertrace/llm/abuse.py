@@ -17,12 +17,15 @@ from covertrace.llm.fold import fold
 LABELLED_DOCUMENTS = 2_500
 #: Hash buckets of features, size of their vectors, lengths of character n-grams.
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 12, (3, 4, 5)
+#: Features of no weight that each average has besides its own, so that a word or two alone don't decide.
+PRIOR = 12
 #: Rounds of choosing sentences and fitting; passes of each; size of a step; sentences in a batch.
 ROUNDS, PASSES, STEP, BATCH = 6, 2, 0.6, 512
-#: Sentences of a harmless document that a round takes besides its most suspicious one.
-OTHERS = 3
+#: Sentences of a harmless document that a round takes besides its most suspicious one, and as many short ones, of at
+#: most so many features (a name, a number, a broken line).
+OTHERS, SHORT = 3, 30
 #: Score from which a document counts.
-THRESHOLD = 0.3
+THRESHOLD = 0.25
 #: A vote for abuse is left out where the model gives its document less than the first, one against where it gives more than the second.
 TRUST = (0.1, 0.9)
 SEED = 7
@@ -181,7 +184,7 @@ class Model:
         return cls(rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS, rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2))
 
     def values(self) -> tuple[np.ndarray, float]:
-        """The model as one number per feature and an offset: the log-odds of a sentence are their average plus the offset."""
+        """The model as one number per feature and an offset: the log-odds of a sentence are their average (with the prior) plus the offset."""
         w = self.weights[:, 1] - self.weights[:, 0]
         return self.vectors @ w, float(self.bias[1] - self.bias[0])
 
@@ -194,15 +197,16 @@ class Model:
             for at in range(0, len(order), BATCH):
                 chosen = order[at : at + BATCH]
                 lengths = np.array([len(bags[i]) for i in chosen])
+                weigh = (lengths + PRIOR)[:, None]
                 index = np.concatenate([bags[i] for i in chosen])
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                mean = np.add.reduceat(self.vectors[index], starts, axis=0) / lengths[:, None]
+                mean = np.add.reduceat(self.vectors[index], starts, axis=0) / weigh
                 z = mean @ self.weights + self.bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(chosen)), labels[chosen]] -= 1
                 p *= weights[chosen][:, None]
-                g_mean = (p @ self.weights.T) / lengths[:, None]
+                g_mean = (p @ self.weights.T) / weigh
                 g_w, g_b = mean.T @ p / len(chosen), p.mean(0)
                 rows, place = np.unique(index, return_inverse=True)
                 each = np.repeat(g_mean, lengths, axis=0)
@@ -238,7 +242,7 @@ def train(documents: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
         for own, (_, y) in zip(bags, documents):
             if not own:
                 continue
-            scores = np.array([value[f].mean() for f in own]) + offset
+            scores = np.array([value[f].sum() / (len(f) + PRIOR) for f in own]) + offset
             top = int(scores.argmax())
             p = 1 / (1 + np.exp(-scores[top]))
             if y:
@@ -254,7 +258,8 @@ def train(documents: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
                     labels.append(0)
                     scale.append(1.0)
                 others = [i for i in range(len(own)) if i != top and scores[i] < 2]
-            for i in rng.permutation(others)[:OTHERS]:
+            short = [] if y else [i for i in others if len(own[i]) <= SHORT]
+            for i in [*rng.permutation(others)[:OTHERS], *rng.permutation(short)[:OTHERS]]:
                 chosen.append(own[int(i)])
                 labels.append(0)
                 scale.append(0.7)
@@ -309,7 +314,7 @@ class Scorer:
         pair[ends] = 0.0
         total = np.add.reduceat(table[at, 0] + pair, starts)
         count = np.add.reduceat(table[at, 1], starts) + np.array(lengths) - 1
-        p = 1 / (1 + np.exp(-(total / count + self.offset)))
+        p = 1 / (1 + np.exp(-(total / (count + PRIOR) + self.offset)))
         for k, score, s in zip(owner, p.tolist(), kept):
             if score > best[k][0]:
                 best[k] = (score, s)
