@@ -67,6 +67,15 @@ def test_index_is_appended_to(spark):
     assert {r.first_id for r in bd.probe(b, grown).collect()} == {1}
 
 
+def test_index_is_stored_by_token(spark, tmp_path):
+    a = bd.postings(spark.createDataFrame([(1, "H", story(1), "x")], SCHEMA))
+    bd.write_index(bd.build_index(a), str(tmp_path / "index"), 4)
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    assert set(stored.columns) == {"tok", "df", "first", "heads", "part"} and stored.count() == a.count()
+    again = bd.postings(spark.createDataFrame([(2, "H", story(1), "x")], SCHEMA))
+    assert {r.first_id for r in bd.probe(again, bd.append_index(stored.drop("part"), again)).collect()} == {1}
+
+
 def test_empty_tables(spark):
     assert found(spark, [], []) == {}
 
