@@ -21,15 +21,21 @@ HASHED_LENGTH = 40
 SHINGLE = 5
 
 _MARKED = re.compile(r"[^\w\s]")
+_HIGH = re.compile("[^\x00-\u02ff]+")
+
+
+def without_marks(text: str) -> str:
+    """Decomposed by compatibility, without combining characters (none of which lies below U+0300)."""
+    if text.isascii():
+        return text
+    return _HIGH.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), unicodedata.normalize("NFKD", text))
 
 
 def comparison_form(text: str | None) -> str:
     """Lower case, without marks and punctuation, single blanks; '' for null."""
     if not text:
         return ""
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return " ".join(_MARKED.sub(" ", text.lower()).split())
+    return " ".join(_MARKED.sub(" ", without_marks(text).lower()).split())
 
 
 @F.pandas_udf(T.StringType())

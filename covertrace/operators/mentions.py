@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covertrace.functions.text import sentence_around
+from covertrace.functions.text import sentence_around, without_marks
 
 #: Shortest alias that is looked for; largest dictionary that is sent to the executors.
 SHORTEST, DICTIONARY_LIMIT = 3, 100_000
@@ -35,7 +34,7 @@ ROLE_CUES = (
 
 def folded(text: str) -> str:
     """Case-folded without marks; punctuation stays."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+    return without_marks(text).casefold()
 
 
 def pattern_of(forms: list[str]) -> re.Pattern | None:
@@ -63,13 +62,16 @@ def occurrences(articles: DataFrame, entities: DataFrame) -> DataFrame:
     sent = articles.sparkSession.sparkContext.broadcast(forms)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = [(i, p) for i, f in sent.value if (p := pattern_of(f)) is not None]
+        # a text that lacks the first word of all of an entity's forms is passed over before the pattern is tried
+        patterns = [(i, p, {(folded(x).split() or [""])[0] for x in f if x and len(x.strip()) >= SHORTEST}) for i, f in sent.value if (p := pattern_of(f)) is not None]
         for pdf in batches:
             rows = []
             for a, c, headline, body in zip(pdf["id"], pdf["campaign_id"], pdf["headline"], pdf["body_text"]):
                 text = f"{headline or ''}\n\n{body}" if body else (headline or "")
                 form = folded(text)
-                for entity, pattern in patterns:
+                for entity, pattern, starts in patterns:
+                    if not any(s in form for s in starts):
+                        continue
                     for m in pattern.finditer(form):
                         sentence = sentence_around(text, m.start())[:EVIDENCE_LENGTH]
                         rows.append((a, c, entity, m.start(), sentence, folded(sentence)))
