@@ -57,7 +57,10 @@ def import_normalise_rejects(spark, sf_dir):
     return intake.outcome_counts(intake.normalised(table(spark, sf_dir, "import_rows")))
 
 
-@query()
+@query(f"""WITH {_CHECKED}, r AS (SELECT k.*, {_clean_sql('i.url')} AS url, CASE WHEN k.headline IS NULL THEN 'no headline' WHEN k.published_at IS NULL THEN 'no publication date'
+WHEN wall IS NULL THEN 'unparseable publication date' WHEN coalesce(nm, dom) IS NULL THEN 'no outlet name, outlet domain or URL to derive an outlet from' END AS reject_reason FROM k JOIN import_rows i USING (row_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY import_id ORDER BY row_id) AS place FROM r WHERE reject_reason IS NOT NULL)
+SELECT import_id, row_id, reject_reason, headline, published_at, url, coalesce(nm, dom) AS outlet_name FROM n WHERE place <= 50""")
 def rejection_samples(spark, sf_dir):
     return intake.rejection_samples(intake.normalised(table(spark, sf_dir, "import_rows")))
 
@@ -215,6 +218,9 @@ def pre_publication(spark, sf_dir):
     return comparison.pre_publication(table(spark, sf_dir, "campaigns"), nothing)
 
 
-@query()
+@query("""WITH d AS (SELECT c_mktsegment AS campaign_id, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS day_index, count(*) AS n
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+s AS (SELECT campaign_id, unnest(generate_series(min(day_index), max(day_index))) AS day_index FROM d GROUP BY 1)
+SELECT campaign_id, day_index::INTEGER AS day_index, coalesce(n, 0)::BIGINT AS n FROM s LEFT JOIN d USING (campaign_id, day_index)""")
 def bench_lineitem_series(spark, sf_dir):
     return velocity.dense_series(velocity.daily_counts(adapters.line_rows(spark, sf_dir)))
