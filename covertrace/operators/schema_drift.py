@@ -180,21 +180,72 @@ def drift_log(imports: DataFrame, lines: DataFrame | None, rows: DataFrame | Non
     return kept.unionByName(renamed.select("import_id", F.lit("renamed").alias("change"), F.col("to").alias("field_name"))).distinct()
 
 
+#: Fields that have a typed column, with its type.
+CASTS = {"words": "double", "reach": "double", "shares": "double", "score": "double", "page": "double", "paywall": "boolean"}
+_RECORD = "row_id long, import_id long, names array<string>, vals array<string>, unread string"
+
+
+def _record_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names and cells of each record; one that can't be read comes out whole in ``unread``."""
+    for pdf in batches:
+        known = pdf["__header"].notna().to_numpy()
+        heads = {h: read_header(None if pd.isna(h) else h) for h in pdf["__header"].unique()}
+        lines = [None if pd.isna(x) else x for x in pdf["raw_line"]]
+        index = StructuralIndex([clean_record(x) for x in lines], np.fromiter((ord(heads[h][0]) for h in pdf["__header"]), np.uint8, len(lines)))
+        names, vals, unread = [], [], []
+        for i, h in enumerate(pdf["__header"]):
+            cells = index.cells(i) if known[i] else None
+            read = cells is not None and len(cells) == len(heads[h][1])
+            names.append(heads[h][1] if read else None)
+            vals.append(cells if read else None)
+            unread.append(None if read else lines[i])
+        yield pd.DataFrame({"row_id": pdf["line_id"], "import_id": pdf["import_id"], "names": names, "vals": vals, "unread": unread})
+
+
+def _unified(records: DataFrame, payload: str) -> DataFrame:
+    """Records of ``names`` and ``vals`` under the columns of the one table.
+
+    Of several names of one field, the first filled one in the order of the alias table fills the column; whatever
+    no column holds stands under its own name in ``others``.
+    """
+    cell = F.transform(F.arrays_zip("names", "vals"), lambda c: F.struct(c["names"].alias("name"), F.trim(c["vals"]).alias("value")))
+    filled = F.filter(F.coalesce(cell, F.array().cast("array<struct<name:string,value:string>>")), lambda c: c["value"] != "")
+    tidy = records.select("row_id", "import_id", "unread", filled.alias("cells")).withColumn("keys", F.col("cells.name"))
+    place = {f: F.coalesce(*[F.nullif(F.array_position("keys", F.lit(a)), F.lit(0)) for a in ALIASES[f]]).cast("int") for f in ALIASES}
+    placed = tidy.select("row_id", "import_id", "unread", "cells", F.array(*place.values()).alias("places"))
+    picked = {f: F.get(F.col("cells.value"), F.get("places", F.lit(k)) - 1) for k, f in enumerate(ALIASES)}
+    left = F.filter("cells", lambda c, i: ~F.coalesce(F.array_contains(F.filter("places", lambda p: p.isNotNull()), i + 1), F.lit(False)))
+    row = placed.select("row_id", "import_id", "unread", *[v.alias(f) for f, v in picked.items()], left.alias("left"))
+    names = F.array_distinct(F.col("left.name"))
+    return row.select(
+        F.lit(payload).alias("payload"), "row_id", "import_id",
+        *[(F.col(f).try_cast(CASTS[f]) if f in CASTS else F.col(f)).alias(f) for f in ALIASES],
+        F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter("left", lambda c: c["name"] == n), lambda c: c["value"]))).alias("others"),
+        "unread",
+    )
+
+
 def unified_objects(rows: DataFrame) -> DataFrame:
-    """The objects of ``rows`` in one table: alias names drawn together, casts that fit the field, nulls where a cell doesn't.
+    """The objects of ``rows`` (row_id, import_id, raw) in one table, as in ``unified_rows``."""
+    parsed = rows.select("row_id", "import_id", "raw", F.from_json("raw", "map<string,string>").alias("o"))
+    name = lambda k: F.lower(F.regexp_replace(k, r"^[\s\ufeff]+|[\s\ufeff]+$", ""))
+    records = parsed.select(
+        "row_id", "import_id", F.transform(F.map_keys("o"), name).alias("names"), F.map_values("o").alias("vals"), F.when(F.col("o").isNull(), F.col("raw")).alias("unread")
+    )
+    return _unified(records, "import_rows")
+
+
+def unified_records(lines: DataFrame) -> DataFrame:
+    """The records of ``lines`` (line_id, import_id, line_no, raw_line) in one table, as in ``unified_rows``; headers are no records."""
+    records = with_headers(lines.select("line_id", "import_id", "line_no", "raw_line")).select("line_id", "import_id", "raw_line", "__header").mapInPandas(_record_cells, _RECORD)
+    return _unified(records, "syndication_lines")
+
+
+def unified_rows(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every record of ``lines`` and every object of ``rows`` in one table: one row each, repeated ones too.
 
-    Fields outside the alias table are left out.
+    ``payload`` names the table and ``row_id`` the row (``line_id`` of a line). Names of one field are drawn
+    together. A field with a type has its cast, null where a cell doesn't fit. ``others`` holds the cells that have
+    no column, by name; ``unread`` the record or object that can't be read at all. Blank cells are null.
     """
-    parsed = rows.select("row_id", "import_id", F.from_json("raw", "map<string,string>").alias("o"))
-    tidy = parsed.withColumn("keys", F.expr("transform(map_keys(coalesce(o, map())), k -> lower(trim(k)))")).withColumn("vals", F.expr("map_values(coalesce(o, map()))"))
-
-    def pick(field: str) -> Column:
-        found = F.lit(None).cast("string")
-        for alias in reversed(ALIASES[field]):
-            at = F.array_position("keys", F.lit(alias)).cast("int")
-            found = F.when(at > 0, F.element_at("vals", F.greatest(at, F.lit(1)))).otherwise(found)
-        return F.nullif(F.trim(found), F.lit(""))
-
-    casts = {"words": "double", "reach": "double", "shares": "double", "score": "double", "page": "double", "paywall": "boolean"}
-    columns = [(pick(f).try_cast(casts[f]) if f in casts else pick(f)).alias(f) for f in ALIASES]
-    return tidy.select("row_id", "import_id", *columns)
+    return unified_records(lines).unionByName(unified_objects(rows))

@@ -27,7 +27,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift.unified_objects(table(spark, sf_dir, "import_rows"))
+    return schema_drift.unified_rows(table(spark, sf_dir, "syndication_lines"), table(spark, sf_dir, "import_rows"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

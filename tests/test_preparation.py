@@ -77,6 +77,17 @@ def test_unified_table(spark):
     assert out[1].headline == "A" and out[1].words == 12.5 and out[1].paywall is True and out[2].headline is None and out[3].headline is None and out[3].reach is None
 
 
+def test_unified_table_holds_lines_and_unknown_fields(spark):
+    data = [(1, 1, 1, "Title;Date;Source;Words;Mood;Mood;Heading"), (2, 1, 2, "A;2019-01-01;S;12;glad;calm;B"), (3, 1, 3, ";;S;;;;B"), (4, 1, 4, '"broken;x'), (5, 9, 2, "no header"), (6, 1, 6, None)]
+    objects = spark.createDataFrame([(1, 7, '{"Headline": "", "TITLE": "C", "zzz": 1}'), (2, 7, "no json"), (3, 7, None)], "row_id long, import_id long, raw string")
+    table = schema_drift.unified_rows(spark.createDataFrame(data, "line_id long, import_id long, line_no long, raw_line string"), objects).collect()
+    out = {(r.payload[0], r.row_id): r for r in table}
+    assert sorted(out) == [("i", 1), ("i", 2), ("i", 3), ("s", 2), ("s", 3), ("s", 4), ("s", 5), ("s", 6)] and len(table) == 8
+    assert (out["s", 2].headline, out["s", 2].words, out["s", 2].others) == ("A", 12.0, {"mood": ["glad", "calm"], "heading": ["B"]})
+    assert out["s", 3].headline == "B" and out["s", 3].others == {} and out["s", 4].unread == '"broken;x' and out["s", 5].unread == "no header"
+    assert out["i", 1].headline == "C" and out["i", 1].others == {"zzz": ["1"]} and out["i", 2].unread == "no json" and out["i", 3].unread is None
+
+
 CASES = [
     ("2021-04-24T22:06:31Z", "2021-04-24T22:06:31"), ("2018-06-19T11:08:57.5+02:00", "2018-06-19T09:08:57.5"), ("20231026T171052Z", "2023-10-26T17:10:52"), ("1541179930", "2018-11-02T17:32:10"),
     ("1560515191987", "2019-06-14T12:26:31.987"), ("03/09/2020 00:36", "2020-09-02T22:36:00"), ("02/20/2019 02:39", "2019-02-20T01:39:00"), ("Mon, 27 Jan 2020 20:17:16 +0100", "2020-01-27T19:17:16"),
