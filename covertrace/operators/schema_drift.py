@@ -180,7 +180,7 @@ def drift_log(imports: DataFrame, lines: DataFrame | None, rows: DataFrame | Non
     return kept.unionByName(renamed.select("import_id", F.lit("renamed").alias("change"), F.col("to").alias("field_name"))).distinct()
 
 
-#: Fields that have a typed column, with its type.
+#: Fields that have a typed column, with its type; the cell as delivered stands beside it.
 CASTS = {"words": "double", "reach": "double", "shares": "double", "score": "double", "page": "double", "paywall": "boolean"}
 _RECORD = "row_id long, import_id long, names array<string>, vals array<string>, unread string"
 
@@ -216,10 +216,13 @@ def _unified(records: DataFrame, payload: str) -> DataFrame:
     picked = {f: F.get(F.col("cells.value"), F.get("places", F.lit(k)) - 1) for k, f in enumerate(ALIASES)}
     left = F.filter("cells", lambda c, i: ~F.coalesce(F.array_contains(F.filter("places", lambda p: p.isNotNull()), i + 1), F.lit(False)))
     row = placed.select("row_id", "import_id", "unread", *[v.alias(f) for f, v in picked.items()], left.alias("left"))
+    failed = [F.when(F.col(f).try_cast(t).isNull() & ~F.lower(f).isin(*NOTHING), F.lit(f)) for f, t in CASTS.items()]
     names = F.array_distinct(F.col("left.name"))
     return row.select(
         F.lit(payload).alias("payload"), "row_id", "import_id",
         *[(F.col(f).try_cast(CASTS[f]) if f in CASTS else F.col(f)).alias(f) for f in ALIASES],
+        *[F.col(f).alias(f"{f}_raw") for f in CASTS],
+        F.filter(F.array(*failed), lambda f: f.isNotNull()).alias("uncast"),
         F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter("left", lambda c: c["name"] == n), lambda c: c["value"]))).alias("others"),
         "unread",
     )
@@ -245,7 +248,9 @@ def unified_rows(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """Every record of ``lines`` and every object of ``rows`` in one table: one row each, repeated ones too.
 
     ``payload`` names the table and ``row_id`` the row (``line_id`` of a line). Names of one field are drawn
-    together. A field with a type has its cast, null where a cell doesn't fit. ``others`` holds the cells that have
-    no column, by name; ``unread`` the record or object that can't be read at all. Blank cells are null.
+    together. A field with a type has its cast, null where a cell doesn't fit, the cell as delivered under
+    ``<field>_raw``, and its name in ``uncast`` where a cell that stands for something didn't fit. ``others`` holds
+    the cells that have no column, by name; ``unread`` the record or object that can't be read at all. Blank cells
+    are null.
     """
     return unified_records(lines).unionByName(unified_objects(rows))

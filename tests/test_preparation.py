@@ -88,6 +88,13 @@ def test_unified_table_holds_lines_and_unknown_fields(spark):
     assert out["i", 1].headline == "C" and out["i", 1].others == {"zzz": ["1"]} and out["i", 2].unread == "no json" and out["i", 3].unread is None
 
 
+def test_unified_table_keeps_cells_that_do_not_cast(spark):
+    data = [(1, 1, '{"Words": "44 pts", "Locked": "partly", "Score": "n/a", "Page": "3"}')]
+    (r,) = schema_drift.unified_objects(spark.createDataFrame(data, "row_id long, import_id long, raw string")).collect()
+    assert r.words is None and r.words_raw == "44 pts" and r.paywall_raw == "partly" and r.page == 3 and r.page_raw == "3"
+    assert r.uncast == ["words", "paywall"] and r.score_raw == "n/a"
+
+
 CASES = [
     ("2021-04-24T22:06:31Z", "2021-04-24T22:06:31"), ("2018-06-19T11:08:57.5+02:00", "2018-06-19T09:08:57.5"), ("20231026T171052Z", "2023-10-26T17:10:52"), ("1541179930", "2018-11-02T17:32:10"),
     ("1560515191987", "2019-06-14T12:26:31.987"), ("03/09/2020 00:36", "2020-09-02T22:36:00"), ("02/20/2019 02:39", "2019-02-20T01:39:00"), ("Mon, 27 Jan 2020 20:17:16 +0100", "2020-01-27T19:17:16"),
