@@ -42,10 +42,15 @@ def anchors(text: str | None) -> list[int]:
 
     A sentence of fewer words than a run is one token with the sentence before it.
     """
+    return anchors_of(skeleton(text))
+
+
+def anchors_of(form: str) -> list[int]:
+    """``anchors`` of a text whose skeleton is at hand."""
     found: dict[int, None] = {}
     carried: list[str] = []
     digest = xxhash.xxh3_64_intdigest
-    for part in _ENDS.split(skeleton(text)):
+    for part in _ENDS.split(form):
         ws = part.split()
         if not ws:
             continue

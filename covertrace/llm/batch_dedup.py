@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covertrace.llm.anchors import anchors, skeleton
+from covertrace.llm.anchors import anchors_of, skeleton
 from covertrace.operators.components import smallest_linked
 from covertrace.session import written
 
-#: A token under this many different headlines (at least) is a standing phrase, not a sign of one text; in texts of
-#: at most ``NOTICE_TOKENS`` tokens, which may be notices, ``NOTICE_HEADLINES`` are enough.
+#: A token under this many different headlines (at least) may be a standing phrase, not a sign of one text; in texts of
+#: at most ``NOTICE_TOKENS`` tokens, which may be notices, ``NOTICE_HEADLINES`` are enough. It is one if as many texts
+#: that differ elsewhere hold it, or if most texts that hold it don't speak of their headlines, as a notice.
 STANDING_HEADLINES, NOTICE_HEADLINES, NOTICE_TOKENS = 6, 2, 4
 #: Share of the smaller text's tokens that makes a pair a candidate, and that with ``SURE_TOKENS`` tokens settles it.
 CANDIDATE_SHARE, SURE_SHARE, SURE_TOKENS = 0.2, 0.7, 6
@@ -24,40 +26,76 @@ SAME_SHARE, WORD_RUN = 0.5, 3
 #: Most texts that are looked up by broadcasting their ids; beyond, they are joined by a shuffle.
 LOOKUP_BROADCAST = 200_000
 
-POSTINGS = "id long, n int, head int, tok long"
+#: Letters, at least, of the two words in a row that a text shares with the headline it speaks of.
+SPOKEN_LETTERS = 6
+
+POSTINGS = "id long, n int, head int, low int, high int, spoken int, tok long"
+_PARTS = re.compile(r"\s[-–—|:]\s")
 
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ids, counts, heads, toks = [], [], [], []
+        rows, toks, counts = [], [], []
         for i, headline, body in zip(pdf["id"], pdf["headline"], pdf["body_text"]):
-            found = anchors(body)
-            ids += [i] * len(found)
-            counts += [len(found)] * len(found)
-            heads += [hash_bit(headline)] * len(found)
-            toks += found
-        yield pd.DataFrame({"id": ids, "n": counts, "head": heads, "tok": toks})
+            form = skeleton(body)
+            found = anchors_of(form)
+            if found:
+                words = headline_words(headline)
+                rows.append((i, len(found), hash_bit(words), min(found) % 63, max(found) % 63, int(speaks_of(form, words))))
+                counts.append(len(found))
+                toks += found
+        out = pd.DataFrame(rows, columns=["id", "n", "head", "low", "high", "spoken"]).astype("int64")
+        out = out.loc[out.index.repeat(counts)].reset_index(drop=True)
+        out["tok"] = pd.Series(toks, dtype="int64")
+        yield out
+
+
+def headline_words(headline: str | None) -> list[str]:
+    """The words of a headline's comparison form: its longest part, without an outlet's name or a rubric beside it, and without marks."""
+    part = max(_PARTS.split(headline or ""), key=len)
+    return [w for w in (p.strip(".!?") for p in skeleton(part).split()) if w]
+
+
+def hash_bit(words: list[str]) -> int:
+    """One of 63 bits for a headline's comparison form; a token's headlines are counted by the bits they set."""
+    return xxhash.xxh3_64_intdigest(" ".join(words)) % 63
 
 
-def hash_bit(headline: str | None) -> int:
-    """One of 63 bits for a headline's comparison form; a token's headlines are counted by the bits they set."""
-    return xxhash.xxh3_64_intdigest(" ".join(skeleton(headline).split())) % 63
+def speaks_of(form: str, words: list[str]) -> bool:
+    """Whether a text's skeleton has two words in a row of its headline, as a story mostly does and a notice doesn't."""
+    runs = [f"{a} {b}" for a, b in zip(words, words[1:]) if len(a) + len(b) >= SPOKEN_LETTERS]
+    if not runs:
+        return False
+    text = " ".join(form.split())
+    return any(r in text for r in runs)
 
 
 def postings(articles: DataFrame) -> DataFrame:
-    """(id, n, head, tok): the rare-token candidates of each text, ``n`` of them; texts without a body have none."""
+    """(id, n, head, low, high, spoken, tok): the rare-token candidates of each text, ``n`` of them; texts without a body have none.
+
+    ``head`` is the headline's bit; ``low`` and ``high`` are the bits of the text's least and greatest token, so
+    that copies of a text set few bits however many headlines they have; ``spoken`` is 1 where the text speaks
+    of its headline.
+    """
     return articles.select("id", "headline", "body_text").where(F.col("id").isNotNull()).mapInPandas(_emit, POSTINGS)
 
 
+_BITS = ("head", "low", "high")
+
+
 def build_index(posted: DataFrame) -> DataFrame:
-    """The inverted index, one row a token: how many texts, their first (id, n), and the set of their headlines' bits."""
-    return posted.groupBy("tok").agg(F.count("*").alias("df"), F.min(F.struct("id", "n")).alias("first"), F.bit_or(F.expr("shiftleft(1L, head)")).alias("heads"))
+    """The inverted index, one row a token: how many texts, their first (id, n), and in ``heads`` the sets of their bits and how many speak of their headlines."""
+    sets = posted.groupBy("tok").agg(
+        F.count("*").alias("df"), F.min(F.struct("id", "n")).alias("first"), *[F.bit_or(F.expr(f"shiftleft(1L, {b})")).alias(b) for b in _BITS], F.sum("spoken").alias("spoken")
+    )
+    return sets.select("tok", "df", "first", F.struct(*_BITS, "spoken").alias("heads"))
 
 
 def append_index(index: DataFrame, posted: DataFrame) -> DataFrame:
     """``index`` with a batch's postings added; no earlier text is read."""
     both = index.unionByName(build_index(posted))
-    return both.groupBy("tok").agg(F.sum("df").alias("df"), F.min("first").alias("first"), F.bit_or("heads").alias("heads"))
+    sets = both.groupBy("tok").agg(F.sum("df").alias("df"), F.min("first").alias("first"), *[F.bit_or(f"heads.{b}").alias(b) for b in _BITS], F.sum("heads.spoken").alias("spoken"))
+    return sets.select("tok", "df", "first", F.struct(*_BITS, "spoken").alias("heads"))
 
 
 def write_index(index: DataFrame, path: str, parts: int = 64) -> None:
@@ -67,7 +105,9 @@ def write_index(index: DataFrame, path: str, parts: int = 64) -> None:
 
 def _standing() -> Column:
     notice = (F.col("n") <= NOTICE_TOKENS) & (F.col("first.n") <= NOTICE_TOKENS)
-    return F.bit_count("heads") >= F.when(notice, NOTICE_HEADLINES).otherwise(STANDING_HEADLINES)
+    many = F.bit_count("heads.head") >= F.when(notice, NOTICE_HEADLINES).otherwise(STANDING_HEADLINES)
+    differ = F.least(F.bit_count("heads.low"), F.bit_count("heads.high")) >= STANDING_HEADLINES
+    return many & (differ | (2 * F.col("heads.spoken") < F.col("df")))
 
 
 def probe(posted: DataFrame, index: DataFrame) -> DataFrame:
@@ -128,7 +168,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def repeated_texts(accepted: DataFrame, incoming: DataFrame) -> DataFrame:
     """(id, root): each text of either table that repeats an earlier one, with the first of its kind.
 
-    Tokens are runs of words at sentence edges; those under many headlines are standing phrases. The index
+    Tokens are runs of words at sentence edges; those under many headlines are standing phrases if the texts that
+    hold them differ elsewhere or don't speak of their headlines. The index
     holds, for each token, its first text, so that a text meets at most one earlier text per token, however many
     copies there are. Pairs with a fifth of the smaller text's tokens in common are candidates; near-certain ones
     stand, others are verified by their word runs. A text all of whose pairs fail meets the next text of its

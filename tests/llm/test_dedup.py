@@ -35,6 +35,21 @@ def test_what_is_not_a_repetition(spark):
     assert found(spark, accepted, incoming) == {}
 
 
+def test_copies_under_many_headlines(spark):
+    s = story(21)
+    heads = [f"{w.title()} {k} {s[:40]}" for k, w in enumerate(NOUNS)]
+    assert found(spark, [(i, h, s) for i, h in enumerate(heads[:8], 1)], [(101, heads[8], s), (102, heads[9], s + " A sentence of our own is added to it here."), (103, "Else", story(22))]) == {101: 1, 102: 1}
+    notice = "This story is available to subscribers only. " * 2 + "Please log in or start a free trial to continue. Your details are kept for thirty days by the reader desk. You may cancel the free trial at any time before it ends."
+    assert found(spark, [(i, h, notice) for i, h in enumerate(heads[:8], 1)], [(101, heads[8], notice)]) == {}
+
+
+def test_short_text_under_a_second_headline(spark):
+    s = "Ostlalis Mining shares fell by 89 percent once Nyria Watch had published the catch report."
+    assert found(spark, [(1, "Catch report sinks Ostlalis Mining", s)], [(101, "Watchdog: Ostlalis Mining in free fall", s)]) == {101: 1}
+    bare = "In Jorvik 19 percent of soy meal workers earn under 70 million a month, it was found."
+    assert found(spark, [(1, "How the Halnoris carried hides", bare)], [(101, "How the Halnoris carried hides… – The Courier", bare)]) == {101: 1}
+
+
 def test_within_the_batch_and_through_others(spark):
     s = story(7, 12).split(". ")
     first, whole, last = ". ".join(s[:7]) + ".", ". ".join(s), ". ".join(s[5:])
