@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covertrace.operators import coverage, velocity
+from covertrace.operators import coverage, escalation, exposure, velocity
 
 #: Campaigns of one comparison.
 LEAST, MOST = 2, 4
@@ -68,14 +68,62 @@ def metric_values(articles: DataFrame, outlets: DataFrame, campaigns: DataFrame,
     return wide.select("campaign_id", F.explode(F.array(*values)).alias("m")).select("campaign_id", "m.*")
 
 
-def compare(articles: DataFrame, outlets: DataFrame, campaigns: DataFrame, refs: Sequence[str | int], cutoff: int | None = None) -> DataFrame:
-    """The long comparison of two to four campaigns at one cutoff (without one, the shortest window among them)."""
+def all_metric_values(
+    articles: DataFrame, outlets: DataFrame, campaigns: DataFrame, cutoff: int | None, mentions: DataFrame | None = None, escalations: DataFrame | None = None
+) -> DataFrame:
+    """(campaign_id, metric, value, label, available, reason): every metric of ``METRIC_ORDER`` at one cutoff.
+
+    Those that are no number (tier mix, standing, furthest stage) have a ``label``. Mentions and escalations are cut
+    as articles are, undated ones left out at a cutoff; where a table is absent, its metrics are unavailable.
+    """
+    published = campaigns.where(F.col("published_at").isNotNull()).select(F.col("id").alias("campaign_id"))
+    within = lambda df: (df if cutoff is None else df.where(F.col("day_index") <= cutoff)).join(F.broadcast(published), "campaign_id", "left_semi")
+    rows = within(coverage.article_rows(articles, outlets))
+    tier = F.struct((-F.col("articles")).alias("k"), F.coalesce("tier", F.lit("unknown")).alias("tier"), "share")
+    tiers = coverage.distribution(rows, "tier", "tier").groupBy("campaign_id").agg(F.sort_array(F.collect_list(tier)).alias("tiers"))
+    wide = published.join(tiers, "campaign_id", "left").withColumn("tier_mix", F.concat_ws(", ", F.transform("tiers", lambda t: F.format_string("%s %.3f", t["tier"], t["share"]))))
+    nothing = F.lit(None).cast("string")
+
+    def one(name: str, value: Column | None, label: Column | None, reason: Column) -> Column:
+        number = F.lit(None).cast("double") if value is None else F.when(reason.isNull(), value.cast("double"))
+        text = nothing if label is None else F.when(reason.isNull(), label)
+        return F.struct(F.lit(name).alias("metric"), number.alias("value"), text.alias("label"), reason.isNull().alias("available"), reason.alias("reason"))
+
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    values = [one("tier_mix", None, F.col("tier_mix"), F.when(F.col("tiers").isNull(), "no articles"))]
+    exposed, escalated = ("own_company_mentions", "depth_score", "first_mention_day", "competitor_comparison"), ("escalation_count", "days_to_first_escalation", "severity_weighted_total", "escalation_chain")
+    if mentions is None:
+        values += [one(n, None, None, F.lit("no table of mentions")) for n in exposed]
+    else:
+        m = within(mentions)
+        own = m.where("is_own")
+        wide = wide.join(exposure.depth_score(own).drop("articles_mentioning"), "campaign_id", "left").join(exposure.first_mention(own).select("campaign_id", "first_mention_day"), "campaign_id", "left")
+        wide = wide.join(exposure.peer_standing(m).select("campaign_id", "standing"), "campaign_id", "left").join(m.groupBy("campaign_id").agg(F.count_if(~F.col("is_own")).alias("peers")), "campaign_id", "left")
+        # an own company without a mention stands behind all peers that have one
+        standing = F.coalesce("standing", F.when(F.col("peers") > 0, "named least").otherwise("no competitors configured"))
+        values += [one(n, zero(n), None, nothing) for n in exposed[:2]]
+        values += [one(exposed[2], F.col(exposed[2]), None, F.when(F.col(exposed[2]).isNull(), "no dated mention")), one(exposed[3], None, standing, nothing)]
+    if escalations is None:
+        values += [one(n, None, None, F.lit("no table of escalations")) for n in escalated]
+    else:
+        e = within(escalations)
+        wide = wide.join(escalation.totals(e), "campaign_id", "left").join(escalation.furthest(e, published), "campaign_id", "left")
+        values += [one(n, zero(n), None, nothing) for n in (escalated[0], escalated[2])]
+        values += [one(escalated[1], F.col(escalated[1]), None, F.when(F.col(escalated[1]).isNull(), "no dated escalation")), one(escalated[3], None, F.col(escalated[3]), nothing)]
+    further = wide.select("campaign_id", F.explode(F.array(*values)).alias("m")).select("campaign_id", "m.*")
+    return metric_values(articles, outlets, campaigns, cutoff).withColumn("label", nothing).unionByName(further)
+
+
+def compare(
+    articles: DataFrame, outlets: DataFrame, campaigns: DataFrame, refs: Sequence[str | int], cutoff: int | None = None, mentions: DataFrame | None = None, escalations: DataFrame | None = None
+) -> DataFrame:
+    """The long comparison of two to four campaigns in all metrics at one cutoff (without one, the shortest window among them)."""
     if not LEAST <= len(refs) <= MOST:
         raise ValueError(f"a comparison takes {LEAST} to {MOST} campaigns")
     chosen = resolve(campaigns, refs)
     own = articles.join(F.broadcast(chosen.select(F.col("id").alias("campaign_id"))), "campaign_id", "left_semi")
     at = shortest_window(own) if cutoff is None else cutoff
-    return metric_values(own, outlets, chosen, at).withColumn("at_day_index", F.lit(at).cast("int"))
+    return all_metric_values(own, outlets, chosen, at, mentions, escalations).withColumn("at_day_index", F.lit(at).cast("int"))
 
 
 def pre_publication(campaigns: DataFrame, hits: DataFrame) -> DataFrame:
@@ -93,7 +141,7 @@ def summaries(campaigns: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def pivoted(values: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Metrics as rows, campaign slugs as columns, formatted: empty for null, no trailing zeros."""
+    """Metrics as rows, campaign slugs as columns, formatted: labels as they are, empty for null, no trailing zeros."""
     named = values.join(F.broadcast(campaigns.select(F.col("id").alias("campaign_id"), "slug")), "campaign_id")
     text = F.when(F.col("value").isNull(), "").otherwise(F.regexp_replace(F.format_string("%.3f", "value"), r"\.?0+$", ""))
-    return named.groupBy("metric").pivot("slug").agg(F.first(text))
+    return named.groupBy("metric").pivot("slug").agg(F.first(F.coalesce("label", text)))

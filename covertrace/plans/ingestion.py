@@ -202,7 +202,7 @@ def snapshot_documents(spark, sf_dir):
 @query()
 def comparison_table(spark, sf_dir):
     campaigns = table(spark, sf_dir, "campaigns")
-    values = comparison.compare(table(spark, sf_dir, "articles"), table(spark, sf_dir, "outlets"), campaigns, [1, 3, 7])
+    values = comparison.compare(table(spark, sf_dir, "articles"), table(spark, sf_dir, "outlets"), campaigns, [1, 3, 7], None, adapters.mentions(spark, sf_dir), adapters.escalations(spark, sf_dir))
     return comparison.pivoted(values, campaigns)
 
 

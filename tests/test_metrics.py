@@ -50,6 +50,18 @@ def test_metric_values_are_refused_with_a_reason(campaign):
     assert nothing["total_articles"].value == 0 and not nothing["peak_day"].available and nothing["syndication_ratio"].available
 
 
+def test_every_metric_comes_out_at_the_cutoff(spark, campaign):
+    a, o, c, _ = campaign
+    m = spark.createDataFrame([(1, 1, 10, 0, True, "subject", 2), (2, 1, 10, 0, True, "subject", 9), (3, 1, 11, 5, False, "subject", 1), (4, 1, 11, 5, False, "subject", 2), (5, 1, 12, 0, True, "subject", None)], "id long, campaign_id long, article_id long, entity_id long, is_own boolean, role string, day_index int")
+    e = spark.createDataFrame([(1, 1, "2019-03-06", "legal_petition", 2, True, 2), (2, 1, "2019-03-20", "regulatory_action", 4, True, 16)], "id long, campaign_id long, occurred_at string, escalation_type string, severity int, verified boolean, day_index int")
+    at3 = {r.metric: r for r in comparison.all_metric_values(a, o, c, 3, m, e).collect()}
+    assert sorted(at3) == sorted(comparison.METRIC_ORDER)
+    assert [at3[n].value for n in ("own_company_mentions", "depth_score", "first_mention_day", "escalation_count", "days_to_first_escalation", "severity_weighted_total")] == [1, 5, 2, 1, 2, 2]
+    assert [at3[n].label for n in ("tier_mix", "competitor_comparison", "escalation_chain")] == ["national_general 1.000", "named least", "ngo_action"]
+    without = {r.metric: r for r in comparison.all_metric_values(a, o, c, 3).collect()}
+    assert sorted(without) == sorted(at3) and not without["depth_score"].available and "mentions" in without["depth_score"].reason and "escalations" in without["escalation_chain"].reason
+
+
 def test_comparison_arity_and_references(campaign):
     a, o, c, _ = campaign
     with pytest.raises(ValueError):
