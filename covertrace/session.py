@@ -31,9 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one only where it is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="covertrace-shared-")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    return tempfile.mkdtemp(prefix="covertrace-shared-")
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Have what is written under ``path`` removed at the session's end."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -41,7 +52,5 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/covertrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    removed_at_exit(spark, path)
     return spark.read.parquet(path)
