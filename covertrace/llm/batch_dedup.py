@@ -1,66 +1,50 @@
-"""New batches against all accepted history: an inverted index of rare tokens, probed, verified and appended to."""
+"""New batches against all accepted history: a stored inverted index of rare tokens, probed, verified and appended to."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from covertrace.llm.anchors import anchors_of, skeleton
 from covertrace.operators.components import smallest_linked
-from covertrace.session import written
+from covertrace.session import removed_at_exit, shared_folder, written
 
-#: A token under this many different headlines (at least) may be a standing phrase, not a sign of one text; in texts of
-#: at most ``NOTICE_TOKENS`` tokens, which may be notices, ``NOTICE_HEADLINES`` are enough. It is one if as many texts
-#: that differ elsewhere hold it, or if most texts that hold it don't speak of their headlines, as a notice.
-STANDING_HEADLINES, NOTICE_HEADLINES, NOTICE_TOKENS = 6, 2, 4
+#: Different texts (classes of copies, told apart by their words) under one token, beyond which it is a standing phrase
+#: and no sign of one text.
+CLASSES = 8
+#: A text of at most so many tokens that stands under several headlines, and mostly doesn't speak of them, is a notice.
+NOTICE_TOKENS = 4
 #: Share of the smaller text's tokens that makes a pair a candidate, and that with ``SURE_TOKENS`` tokens settles it.
 CANDIDATE_SHARE, SURE_SHARE, SURE_TOKENS = 0.2, 0.7, 6
-#: Share of the smaller text's word runs that two versions of a text have in common.
-SAME_SHARE, WORD_RUN = 0.5, 3
+#: Share of the smaller text's word runs that two versions of a text have in common; the same where they share but one token.
+SAME_SHARE, LONE_SHARE, WORD_RUN = 0.5, 0.8, 3
 #: Most texts that are looked up by broadcasting their ids; beyond, they are joined by a shuffle.
 LOOKUP_BROADCAST = 200_000
-
 #: Letters, at least, of the two words in a row that a text shares with the headline it speaks of.
 SPOKEN_LETTERS = 6
+#: Buckets of a stored index.
+BUCKETS = 32
 
-POSTINGS = "id long, n int, head int, low int, high int, spoken int, tok long"
+TEXTS = "id long, whole string, n int, head long, spoken int, toks array<long>"
+TOKEN_ROWS = "tok long, id long, n int, root long"
+WHOLE_ROWS = "whole string, id long, root long, n int, copies long, head_low long, head_high long, spoken long"
 _PARTS = re.compile(r"\s[-–—|:]\s")
 
 
-def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows, toks, counts = [], [], []
-        for i, headline, body in zip(pdf["id"], pdf["headline"], pdf["body_text"]):
-            form = skeleton(body)
-            found = anchors_of(form)
-            if found:
-                words = headline_words(headline)
-                rows.append((i, len(found), hash_bit(words), min(found) % 63, max(found) % 63, int(speaks_of(form, words))))
-                counts.append(len(found))
-                toks += found
-        out = pd.DataFrame(rows, columns=["id", "n", "head", "low", "high", "spoken"]).astype("int64")
-        out = out.loc[out.index.repeat(counts)].reset_index(drop=True)
-        out["tok"] = pd.Series(toks, dtype="int64")
-        yield out
-
-
 def headline_words(headline: str | None) -> list[str]:
     """The words of a headline's comparison form: its longest part, without an outlet's name or a rubric beside it, and without marks."""
     part = max(_PARTS.split(headline or ""), key=len)
     return [w for w in (p.strip(".!?") for p in skeleton(part).split()) if w]
 
 
-def hash_bit(words: list[str]) -> int:
-    """One of 63 bits for a headline's comparison form; a token's headlines are counted by the bits they set."""
-    return xxhash.xxh3_64_intdigest(" ".join(words)) % 63
-
-
 def speaks_of(form: str, words: list[str]) -> bool:
     """Whether a text's skeleton has two words in a row of its headline, as a story mostly does and a notice doesn't."""
     runs = [f"{a} {b}" for a, b in zip(words, words[1:]) if len(a) + len(b) >= SPOKEN_LETTERS]
@@ -70,54 +54,31 @@ def speaks_of(form: str, words: list[str]) -> bool:
     return any(r in text for r in runs)
 
 
-def postings(articles: DataFrame) -> DataFrame:
-    """(id, n, head, low, high, spoken, tok): the rare-token candidates of each text, ``n`` of them; texts without a body have none.
-
-    ``head`` is the headline's bit; ``low`` and ``high`` are the bits of the text's least and greatest token, so
-    that copies of a text set few bits however many headlines they have; ``spoken`` is 1 where the text speaks
-    of its headline.
-    """
-    return articles.select("id", "headline", "body_text").where(F.col("id").isNotNull()).mapInPandas(_emit, POSTINGS)
-
-
-_BITS = ("head", "low", "high")
-
-
-def build_index(posted: DataFrame) -> DataFrame:
-    """The inverted index, one row a token: how many texts, their first (id, n), and in ``heads`` the sets of their bits and how many speak of their headlines."""
-    sets = posted.groupBy("tok").agg(
-        F.count("*").alias("df"), F.min(F.struct("id", "n")).alias("first"), *[F.bit_or(F.expr(f"shiftleft(1L, {b})")).alias(b) for b in _BITS], F.sum("spoken").alias("spoken")
-    )
-    return sets.select("tok", "df", "first", F.struct(*_BITS, "spoken").alias("heads"))
+def _whole(body: str, form: str) -> str:
+    """Digest of a text's whole skeleton without marks; of a text that has none (other scripts), of its words."""
+    ws = [w for w in (p.strip(".!?") for p in form.split()) if w] or body.casefold().split()
+    return xxhash.xxh3_128_hexdigest(" ".join(ws)) if ws else ""
 
 
-def append_index(index: DataFrame, posted: DataFrame) -> DataFrame:
-    """``index`` with a batch's postings added; no earlier text is read."""
-    both = index.unionByName(build_index(posted))
-    sets = both.groupBy("tok").agg(F.sum("df").alias("df"), F.min("first").alias("first"), *[F.bit_or(f"heads.{b}").alias(b) for b in _BITS], F.sum("heads.spoken").alias("spoken"))
-    return sets.select("tok", "df", "first", F.struct(*_BITS, "spoken").alias("heads"))
-
-
-def write_index(index: DataFrame, path: str, parts: int = 64) -> None:
-    """The index as a table partitioned by token."""
-    index.withColumn("part", F.pmod("tok", F.lit(parts))).repartition(parts, "part").write.partitionBy("part").mode("overwrite").parquet(path)
-
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for i, headline, body in zip(pdf["id"], pdf["headline"], pdf["body_text"]):
+            form = skeleton(body)
+            whole = _whole(body or "", form)
+            if whole:
+                words = headline_words(headline)
+                toks = anchors_of(form)
+                rows.append((i, whole, len(toks), xxhash.xxh3_64_intdigest(" ".join(words)) >> 1, int(speaks_of(form, words)), toks))
+        yield pd.DataFrame(rows, columns=["id", "whole", "n", "head", "spoken", "toks"])
 
-def _standing() -> Column:
-    notice = (F.col("n") <= NOTICE_TOKENS) & (F.col("first.n") <= NOTICE_TOKENS)
-    many = F.bit_count("heads.head") >= F.when(notice, NOTICE_HEADLINES).otherwise(STANDING_HEADLINES)
-    differ = F.least(F.bit_count("heads.low"), F.bit_count("heads.high")) >= STANDING_HEADLINES
-    return many & (differ | (2 * F.col("heads.spoken") < F.col("df")))
 
+def read_texts(batch: DataFrame) -> DataFrame:
+    """One row for each text with words: digest of the whole, tokens, hash of the headline, whether the text speaks of it.
 
-def probe(posted: DataFrame, index: DataFrame) -> DataFrame:
-    """(id, tok, n, first_id, first_n, standing): the postings of ``posted`` that meet an earlier text in ``index``."""
-    shared = index.where("df > 1")
-    return (
-        posted.join(shared, "tok")
-        .where((F.col("first.id") < F.col("id")) | _standing())
-        .select("id", "tok", "n", F.col("first.id").alias("first_id"), F.col("first.n").alias("first_n"), _standing().alias("standing"))
-    )
+    This is the one step that tokenises; it is given a batch, never the history.
+    """
+    return batch.select("id", "headline", "body_text").where(F.col("id").isNotNull() & F.col("body_text").isNotNull()).mapInPandas(_read, TEXTS)
 
 
 def _share(a: str | None, b: str | None) -> float:
@@ -135,76 +96,165 @@ def run_share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_share(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _candidates(met: DataFrame) -> DataFrame:
-    """(id, first_id, shared, share) of pairs with enough tokens in common, by the length of the smaller text."""
-    own = F.when(F.col("standing"), F.lit(-1).cast("long")).otherwise(F.col("first_id"))
-    pairs = met.withColumn("first_id", own).groupBy("id", "first_id").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("first_n").alias("first_n"))
-    standing = pairs.where("first_id = -1").select(F.col("id").alias("sid"), F.col("shared").alias("n_standing"))
-    real = pairs.where("first_id >= 0")
-    # standing phrases of the new text don't count for its length
-    real = real.join(standing, real["id"] == standing["sid"], "left").drop("sid")
-    small = F.greatest(F.least(F.col("n") - F.coalesce("n_standing", F.lit(0)), F.col("first_n")), F.lit(1))
-    return real.select("id", "first_id", "shared", (F.col("shared") / small).alias("share")).where(F.col("share") >= CANDIDATE_SHARE)
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(id, other) of the pairs that are one text: settled by their tokens, or else by the word runs of the two texts.
 
+    Of ``bodies`` only those of open pairs are looked up; their ids are broadcast only if few enough.
+    """
+    pairs = written(pairs)
+    sure = (F.col("share") >= SURE_SHARE) & (F.col("shared") >= SURE_TOKENS)
+    settled, open_pairs = pairs.where(sure).select("id", "other"), pairs.where(~sure)
+    ids = open_pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    n = ids.limit(LOOKUP_BROADCAST + 1).count()
+    if not n:
+        return settled
+    held = written(bodies.join(F.broadcast(ids) if n <= LOOKUP_BROADCAST else ids, "id"))
+    a = held.select("id", F.col("body_text").alias("a"))
+    b = held.select(F.col("id").alias("other"), F.col("body_text").alias("b"))
+    same = run_share("a", "b") >= F.when(F.col("shared") > 1, SAME_SHARE).otherwise(LONE_SHARE)
+    return written(settled.unionByName(open_pairs.join(a, "id").join(b, "other").where(same).select("id", "other")))
+
+
+def _counted(met: DataFrame, standing: DataFrame | None = None) -> DataFrame:
+    """(id, other, shared, share) of the pairs in ``met`` (id, n, other, other_n) with enough tokens in common, by the length of the smaller text.
+
+    Standing phrases of the new text don't count for its length.
+    """
+    pairs = met.groupBy("id", "other").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("other_n").alias("other_n"))
+    own = F.col("n")
+    if standing is not None:
+        pairs, own = pairs.join(standing, "id", "left"), F.col("n") - F.coalesce("n_standing", F.lit(0))
+    small = F.greatest(F.least(own, F.col("other_n")), F.lit(1))
+    return pairs.select("id", "other", "shared", (F.col("shared") / small).alias("share")).where(F.col("share") >= CANDIDATE_SHARE)
 
-def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of the ids in ``wanted``, which are broadcast only if few enough."""
-    ids = written(wanted.distinct())
-    few = ids.count() <= LOOKUP_BROADCAST
-    return texts.join(F.broadcast(ids) if few else ids, "id")
 
+class TextIndex:
+    """A stored index of accepted texts in three tables: tokens (bucketed by token), whole texts, joined classes.
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` with ``same``: settled by their tokens, or else by the word runs of the two texts."""
-    sure = (F.col("share") >= SURE_SHARE) & (F.col("shared") >= SURE_TOKENS)
-    open_pairs = pairs.where(~sure)
-    bodies = written(_texts(texts, open_pairs.select(F.explode(F.array("id", "first_id")).alias("id"))))
-    a = bodies.select("id", F.col("body_text").alias("a"))
-    b = bodies.select(F.col("id").alias("first_id"), F.col("body_text").alias("b"))
-    checked = open_pairs.join(a, "id").join(b, "first_id").select("id", "first_id", (run_share("a", "b") >= SAME_SHARE).alias("same"))
-    return pairs.where(sure).select("id", "first_id", F.lit(True).alias("same")).unionByName(checked)
-
-
-def repeated_texts(accepted: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(id, root): each text of either table that repeats an earlier one, with the first of its kind.
-
-    Tokens are runs of words at sentence edges; those under many headlines are standing phrases if the texts that
-    hold them differ elsewhere or don't speak of their headlines. The index
-    holds, for each token, its first text, so that a text meets at most one earlier text per token, however many
-    copies there are. Pairs with a fifth of the smaller text's tokens in common are candidates; near-certain ones
-    stand, others are verified by their word runs. A text all of whose pairs fail meets the next text of its
-    tokens, until no candidate is left. Links are then drawn together.
-
-    Texts that are null, empty, or only standing phrases repeat nothing. Repeated ids count as one text; extra
-    columns are ignored.
+    A token's rows are the classes of texts that hold it, each with its first text; of a token under more than
+    ``CLASSES`` of them no more is kept. ``accept`` reads the batch, the index rows of the batch's own tokens and the
+    bodies of candidates; nothing else of the history. Batches are appended, no row is rewritten.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets or BUCKETS
+        mark = uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex
+        self.tokens_name, self.wholes_name, self.aliases_name = (f"covertrace_{kind}_{mark}" for kind in ("tokens", "wholes", "aliases"))
+        for name, columns, key in ((self.tokens_name, TOKEN_ROWS, "tok"), (self.wholes_name, WHOLE_ROWS, "whole")):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.aliases_name} (id long, root long) USING parquet LOCATION '{self.path}/{self.aliases_name}'")
+
+    @classmethod
+    def temporary(cls, spark: SparkSession) -> TextIndex:
+        """An empty index in the shared folder, removed at the session's end."""
+        path = f"{shared_folder(spark)}/covertrace-index-{uuid.uuid4().hex}"
+        removed_at_exit(spark, path)
+        return cls(spark, path)
+
+    def tokens(self) -> DataFrame:
+        return self.spark.table(self.tokens_name)
+
+    def wholes(self) -> DataFrame:
+        """Each whole text with its first id, its copies, the bounds of their headlines' hashes and how many speak of them."""
+        return self.spark.table(self.wholes_name).groupBy("whole").agg(
+            F.min("id").alias("first"), F.min("root").alias("root"), F.first("n").alias("n"), F.sum("copies").alias("copies"), F.min("head_low").alias("head_low"), F.max("head_high").alias("head_high"), F.sum("spoken").alias("spoken")
+        )
+
+    def accept(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """(id, root): each text of ``batch`` that repeats an earlier one, with the first of its kind; the batch is then part of the index.
+
+        ``history`` holds the accepted articles, whose bodies are looked up by id where a candidate's words are to be compared.
+        Equal texts meet by their digest. Others meet, for each of their tokens, first the earliest text
+        that holds it, then the first text of every class that holds it; tokens of more than ``CLASSES`` classes, verified to differ,
+        are standing phrases and make no candidates (texts of nothing else meet by their digest alone). Pairs with a fifth of the smaller text's
+        tokens in common are candidates; near-certain ones stand, others are verified by their word runs. Links are
+        then drawn together.
+
+        Texts that are null or empty repeat nothing, nor do notices: texts of at most ``NOTICE_TOKENS`` tokens under
+        different headlines of which most copies don't speak. Repeated ids count as one text; extra columns are ignored.
+        """
+        own = batch.select("id", "headline", "body_text")
+        bodies = (own if history is None else own.unionByName(history.select("id", "headline", "body_text"))).select("id", "body_text")
+        read = written(read_texts(own))
+        # copies of one text: one row a digest, over the index and the batch
+        new_wholes = read.groupBy("whole").agg(
+            F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("head").alias("head_low"), F.max("head").alias("head_high"), F.sum("spoken").cast("long").alias("spoken")
+        )
+        known = self.wholes().select("whole", "first", "root", F.col("copies").alias("c"), F.col("head_low").alias("lo"), F.col("head_high").alias("hi"), F.col("spoken").alias("s"))
+        met = written(new_wholes.join(known, "whole", "left"))
+        heads = (F.least("head_low", "lo"), F.greatest("head_high", "hi"))
+        copies, spoken = F.col("copies") + F.coalesce("c", F.lit(0)), F.col("spoken") + F.coalesce("s", F.lit(0))
+        notice = (F.col("n") <= NOTICE_TOKENS) & (heads[0] < heads[1]) & (2 * spoken < copies)
+        kept = met.where(~notice).select("whole", "id", F.least("id", "root").alias("lead"), F.col("first").isNull().alias("is_new"))
+        copied = read.select("id", "whole").join(kept.select("whole", "lead"), "whole").where("id <> lead").select("id", F.col("lead").alias("other"))
+        links = [written(copied)]
+        # distinct texts that the index doesn't have yet
+        fresh = read.join(kept.where("is_new").select("whole", "id"), ["whole", "id"], "left_semi")
+        posted = written(fresh.dropDuplicates(["id"]).select("id", "n", F.explode("toks").alias("tok")))
+        held = written(self.tokens().join(posted.select("tok").distinct(), "tok", "left_semi"))
+        links += self._linked(posted, held, bodies)
+        every = self._all(links)
+        # the classes of stored texts that were met, and those drawn together since
+        stored = held.where("id <> root").join(every.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other")).distinct()
+        roots = smallest_linked(every.unionByName(stored).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other"))), "id", "other")
+        self._append(met, posted, held, roots)
+        ids = read.select("id").distinct()
+        return roots.join(ids, "id", "left_semi").where("root <> id")
+
+    @staticmethod
+    def _all(links: list[DataFrame]) -> DataFrame:
+        out = links[0]
+        for more in links[1:]:
+            out = out.unionByName(more)
+        return out
+
+    @staticmethod
+    def _linked(posted: DataFrame, held: DataFrame, bodies: DataFrame) -> list[DataFrame]:
+        """Two rounds of links: with the earliest text of each token, then with the first text of each class under it."""
+        every = posted.select("tok", "id", "n").unionByName(held.select("tok", "id", "n"))
+        first = every.groupBy("tok").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("df")).where("df > 1")
+        star = posted.join(first, "tok").where("id <> f.id").select("id", "n", F.col("f.id").alias("other"), F.col("f.n").alias("other_n"))
+        links = [_verified(_counted(star), bodies)]
+        labels = smallest_linked(links[0], "id", "other").withColumnRenamed("root", "cls")
+        classed = posted.join(labels, "id", "left").select("tok", "id", "n", F.coalesce("cls", "id").alias("cls"))
+        stored = held.join(labels.withColumnRenamed("id", "root"), "root", "left").select("tok", "id", "n", F.coalesce("cls", "root").alias("cls"))
+        # tokens of one class alone, nearly all of them, are settled
+        several = written(first.select("tok").join(classed.select("tok", "cls").unionByName(stored.select("tok", "cls")).groupBy("tok").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("tok"), "tok", "left_semi"))
+        if several.isEmpty():
+            return links
+        open_rows = written(classed.join(several, "tok", "left_semi"))
+        by_class = open_rows.unionByName(stored.join(several, "tok", "left_semi")).groupBy("tok", "cls").agg(F.min(F.struct("id", "n")).alias("f"))
+        place = F.row_number().over(W.partitionBy("tok").orderBy("f.id"))
+        heads = written(by_class.withColumn("k", place).where(F.col("k") <= CLASSES + 1).select("tok", "k", F.col("cls").alias("other_cls"), F.col("f.id").alias("other"), F.col("f.n").alias("other_n")))
+        common = heads.where(F.col("k") > CLASSES).select("tok")
+        standing = open_rows.join(common, "tok", "left_semi").groupBy("id").agg(F.count("*").alias("n_standing"))
+        met = open_rows.join(heads.join(common, "tok", "left_anti"), "tok").where("cls <> other_cls").select("id", "n", "other", "other_n")
+        return [*links, _verified(_counted(met, standing), bodies)]
+
+    def _append(self, met: DataFrame, posted: DataFrame, held: DataFrame, roots: DataFrame) -> None:
+        new_rows = posted.join(roots, "id", "left").select("tok", "id", "n", F.coalesce("root", "id").alias("root"))
+        firsts = new_rows.groupBy("tok", "root").agg(F.min(F.struct("id", "n")).alias("f"))
+        size = held.groupBy("tok").agg(F.count("*").alias("had"))
+        missing = firsts.join(held.select("tok", "root"), ["tok", "root"], "left_anti")
+        room = missing.withColumn("k", F.row_number().over(W.partitionBy("tok").orderBy("f.id"))).where(F.col("k") <= CLASSES + 1)
+        room = room.join(size, "tok", "left").where(F.col("k") + F.coalesce("had", F.lit(0)) <= CLASSES + 1)
+        room.select("tok", F.col("f.id").alias("id"), F.col("f.n").alias("n"), "root").repartition(self.buckets, "tok").write.insertInto(self.tokens_name)
+        rooted = met.drop("root").join(roots, "id", "left").withColumn("root", F.least("id", "root"))
+        rooted.select("whole", "id", "root", "n", "copies", "head_low", "head_high", "spoken").repartition(self.buckets, "whole").write.insertInto(self.wholes_name)
+        # classes of the index that the batch has drawn together
+        joined = roots.join(held.select(F.col("root").alias("id")).distinct(), "id", "left_semi").where("root <> id")
+        joined.select("id", "root").write.insertInto(self.aliases_name)
+        for name in (self.tokens_name, self.wholes_name, self.aliases_name):
+            self.spark.catalog.refreshTable(name)
+
+
+def skipped_duplicates(accepted: DataFrame, incoming: DataFrame, index: TextIndex | None = None) -> DataFrame:
+    """(accepted_id, incoming_id): each incoming article whose text was accepted before, with the first article that has it.
+
+    ``index`` is a stored index of ``accepted``; without one, ``accepted`` is taken into a new one first.
     """
-    both = accepted.select("id", "headline", "body_text").unionByName(incoming.select("id", "headline", "body_text"))
-    posted = written(postings(both))
-    met = written(probe(posted, build_index(posted)))
-    links = None
-    while True:
-        pairs = written(_candidates(met))
-        if pairs.isEmpty():
-            break
-        judged = written(_verified(pairs, both))
-        same = judged.where("same").select("id", "first_id")
-        links = same if links is None else links.unionByName(same)
-        if judged.where("not same").isEmpty():
-            break
-        # texts without a link yet meet the next text of each token
-        left = met.where("not standing").join(links.select("id").distinct(), "id", "left_anti")
-        later = left.groupBy("tok").agg(F.min(F.struct("id", "n")).alias("first"))
-        met = written(
-            left.join(later, "tok").where(F.col("first.id") < F.col("id"))
-            .select("id", "tok", "n", F.col("first.id").alias("first_id"), F.col("first.n").alias("first_n"), "standing")
-        )
-    if links is None:
-        return both.select("id", F.col("id").alias("root")).limit(0)
-    return smallest_linked(links, "id", "first_id")
-
-
-def skipped_duplicates(accepted: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(accepted_id, incoming_id): each incoming article whose text was accepted before, with the first article that has it."""
-    found = repeated_texts(accepted, incoming)
-    new = incoming.select(F.col("id").alias("incoming_id")).distinct()
-    return new.join(found, new["incoming_id"] == found["id"]).where("root < incoming_id").select(F.col("root").alias("accepted_id"), "incoming_id")
+    if index is None:
+        index = TextIndex.temporary(accepted.sparkSession)
+        index.accept(accepted)
+    found = index.accept(incoming, accepted)
+    return found.where("root < id").select(F.col("root").alias("accepted_id"), F.col("id").alias("incoming_id"))

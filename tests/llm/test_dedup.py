@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import rows
 from covertrace.llm import batch_dedup as bd
 from covertrace.llm.anchors import anchors, skeleton
@@ -13,6 +14,11 @@ def story(seed, n=9):
     return " ".join(f"{rng.choice(NOUNS).title()} {rng.randrange(9999)} of the {rng.choice(NOUNS)} was {rng.choice(('signed', 'weighed', 'denied'))} by {rng.choice(NOUNS)} number {rng.randrange(9999)} in town {rng.randrange(999)}." for _ in range(n))
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(bd, "BUCKETS", 2)
+
+
 def found(spark, accepted, incoming):
     mk = lambda data: spark.createDataFrame([(*r, "clash") for r in data], SCHEMA)
     return dict((i, a) for a, i in rows(bd.skipped_duplicates(mk(accepted), mk(incoming))))
@@ -36,34 +42,39 @@ def test_what_is_not_a_repetition(spark):
 
 
 def test_copies_under_many_headlines(spark):
-    s = story(21)
-    heads = [f"{w.title()} {k} {s[:40]}" for k, w in enumerate(NOUNS)]
-    assert found(spark, [(i, h, s) for i, h in enumerate(heads[:8], 1)], [(101, heads[8], s), (102, heads[9], s + " A sentence of our own is added to it here."), (103, "Else", story(22))]) == {101: 1, 102: 1}
-    notice = "This story is available to subscribers only. " * 2 + "Please log in or start a free trial to continue. Your details are kept for thirty days by the reader desk. You may cancel the free trial at any time before it ends."
-    assert found(spark, [(i, h, notice) for i, h in enumerate(heads[:8], 1)], [(101, heads[8], notice)]) == {}
+    accepted, incoming, wanted = [], [], {}
+    for n in (5, 6, 7, 9):  # under headlines of which the text says nothing
+        s = story(20 + n)
+        accepted += [(1000 * n + i, f"Entirely different {w} {n}", s) for i, w in enumerate(NOUNS[:n])]
+        incoming += [(90000 + n, "Else", s), (91000 + n, "Else", s + " A sentence of our own is added to it here.")]
+        wanted |= {90000 + n: 1000 * n, 91000 + n: 1000 * n}
+    notice = "This story is available to subscribers only. Please log in or start a free trial to continue."
+    accepted += [(i, f"{w} headline here", notice) for i, w in enumerate(NOUNS)]
+    assert found(spark, accepted, [*incoming, (99999, "Another headline yet", notice)]) == wanted
 
 
 def test_short_text_under_a_second_headline(spark):
     s = "Ostlalis Mining shares fell by 89 percent once Nyria Watch had published the catch report."
-    assert found(spark, [(1, "Catch report sinks Ostlalis Mining", s)], [(101, "Watchdog: Ostlalis Mining in free fall", s)]) == {101: 1}
     bare = "In Jorvik 19 percent of soy meal workers earn under 70 million a month, it was found."
-    assert found(spark, [(1, "How the Halnoris carried hides", bare)], [(101, "How the Halnoris carried hides… – The Courier", bare)]) == {101: 1}
+    accepted = [(1, "Catch report sinks Ostlalis Mining", s), (2, "How the Halnoris carried hides", bare)]
+    assert found(spark, accepted, [(101, "Watchdog: Ostlalis Mining in free fall", s), (102, "How the Halnoris carried hides… – The Courier", bare)]) == {101: 1, 102: 2}
 
 
 def test_within_the_batch_and_through_others(spark):
-    s = story(7, 12).split(". ")
-    first, whole, last = ". ".join(s[:7]) + ".", ". ".join(s), ". ".join(s[5:])
-    assert found(spark, [(1, "x", story(8))], [(101, "t", whole), (102, "t", whole), (103, "u", first)]) == {102: 101, 103: 101}
-    assert found(spark, [(1, "a", first), (2, "b", whole)], [(101, "c", last)]) == {101: 1}
+    parts = lambda k: (lambda s: (". ".join(s[:7]) + ".", ". ".join(s), ". ".join(s[5:])))(story(k, 12).split(". "))
+    first, whole, last = parts(7)
+    first2, whole2, last2 = parts(8)
+    got = found(spark, [(1, "a", first), (2, "b", whole), (3, "x", story(9))], [(101, "c", last), (102, "t", whole2), (103, "t", whole2), (104, "u", first2)])
+    assert got == {101: 1, 103: 102, 104: 102}
 
 
 def test_many_copies_make_few_rows(spark):
     s = story(3)
-    accepted = [(i, "H", s) for i in range(1, 400)]
-    posted = bd.postings(spark.createDataFrame([(*r, "x") for r in accepted], SCHEMA))
-    met = bd.probe(posted, bd.build_index(posted))
-    assert met.count() == 398 * len(anchors(s))  # linear in the copies
-    assert found(spark, accepted, [(1000, "H", s)]) == {1000: 1}
+    index = bd.TextIndex.temporary(spark)
+    index.accept(spark.createDataFrame([(i, "H", s, "x") for i in range(1, 400)], SCHEMA))
+    assert index.tokens().count() == len(anchors(s))  # one class, however many copies
+    again = index.accept(spark.createDataFrame([(1000, "H", s, "x")], SCHEMA))
+    assert rows(again, "id", "root") == [(1000, 1)]
 
 
 def test_a_false_first_text_does_not_hide_the_true_one(spark):
@@ -74,21 +85,49 @@ def test_a_false_first_text_does_not_hide_the_true_one(spark):
     assert found(spark, [(1, "D", decoy), (2, "H", s)], [(101, "H", s)]) == {101: 2}
 
 
-def test_index_is_appended_to(spark):
+def test_a_standing_phrase_keeps_few_rows(spark):
+    phrase = " The cooperative has always said that every delivery is weighed twice before it leaves the quay."
+    texts = [(i, f"H {i}", story(i, 4) + phrase, "x") for i in range(1, 31)]
+    index = bd.TextIndex.temporary(spark)
+    assert index.accept(spark.createDataFrame(texts, SCHEMA)).count() == 0
+    under = index.tokens().groupBy("tok").count().toPandas()["count"]
+    assert under.max() == bd.CLASSES + 1 and (under > 1).sum() == 2
+    later = spark.createDataFrame([(100, "H", story(77, 4) + phrase, "x"), (101, "H", story(30, 4) + phrase, "x")], SCHEMA)
+    assert rows(index.accept(later, spark.createDataFrame(texts, SCHEMA)), "id", "root") == [(101, 30)]
+
+
+def test_batches_are_appended_and_history_is_not_read_again(spark, tmp_path, monkeypatch):
     mk = lambda data: spark.createDataFrame([(*r, "x") for r in data], SCHEMA)
-    a, b = bd.postings(mk([(1, "H", story(1)), (2, "I", story(2))])), bd.postings(mk([(3, "H", story(1))]))
-    grown = bd.append_index(bd.build_index(a), b)
-    assert rows(grown) == rows(bd.build_index(a.unionByName(b)))
-    assert {r.first_id for r in bd.probe(b, grown).collect()} == {1}
-
-
-def test_index_is_stored_by_token(spark, tmp_path):
-    a = bd.postings(spark.createDataFrame([(1, "H", story(1), "x")], SCHEMA))
-    bd.write_index(bd.build_index(a), str(tmp_path / "index"), 4)
-    stored = spark.read.parquet(str(tmp_path / "index"))
-    assert set(stored.columns) == {"tok", "df", "first", "heads", "part"} and stored.count() == a.count()
-    again = bd.postings(spark.createDataFrame([(2, "H", story(1), "x")], SCHEMA))
-    assert {r.first_id for r in bd.probe(again, bd.append_index(stored.drop("part"), again)).collect()} == {1}
+    s = story(7, 12).split(". ")
+    first, whole, last = ". ".join(s[:7]) + ".", ". ".join(s), ". ".join(s[5:])
+    one = mk([(1, "H", story(1)), (2, "I", first), (3, "H", story(1))])
+    assert rows(bd.TextIndex(spark, str(tmp_path / "i"), 4).accept(one), "id", "root") == [(3, 1)]
+    index = bd.TextIndex(spark, str(tmp_path / "i"), 4)  # opened again
+    read = []
+    real = bd.read_texts
+    monkeypatch.setattr(bd, "read_texts", lambda batch: read.append(batch.count()) or real(batch))
+    two = mk([(11, "K", last), (12, "H", story(1) + " A sentence of our own is added to it here."), (13, "M", story(9))])
+    assert rows(index.accept(two, one), "id", "root") == [(12, 1)]
+    # the whole text draws the two parts of it together
+    three = mk([(21, "L", whole), (22, "M", story(9))])
+    assert rows(index.accept(three, one.unionByName(two)), "id", "root") == [(21, 2), (22, 13)]
+    four = mk([(31, "L", last)])
+    assert rows(index.accept(four, one.unionByName(two).unionByName(three)), "id", "root") == [(31, 2)]
+    assert read == [3, 2, 1]  # each batch alone is tokenised
+
+
+def test_the_index_is_probed_without_moving_it(spark, monkeypatch):
+    monkeypatch.setattr(bd, "BUCKETS", 8)
+    index = bd.TextIndex.temporary(spark)
+    index.accept(spark.createDataFrame([(1, "H", story(1), "x")], SCHEMA))
+    toks = spark.createDataFrame([(1,)], "tok long").distinct()
+    plan = index.tokens().hint("merge").join(toks.hint("merge"), "tok", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the tokens' side alone
+
+
+def test_texts_of_other_scripts_meet_by_their_whole(spark):
+    russian = "Правительство приняло решение о новых правилах. Порт закрыт до понедельника."
+    assert found(spark, [(1, "H", russian)], [(101, "H", russian), (102, "H", "Совсем другой текст о другом порте.")]) == {101: 1}
 
 
 def test_empty_tables(spark):
