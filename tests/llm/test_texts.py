@@ -20,7 +20,9 @@ SOUND = [
 
 @pytest.fixture(scope="module")
 def restorer():
-    return encodings.Restorer({lang: (text * 30).encode() for lang, text in SOUND})
+    known = encodings.Dictionaries({lang: (text * 30).encode() for lang, text in SOUND})
+    known.words = frozenset(w.strip("., ;“”’") for _, text in SOUND for w in text.lower().split())
+    return encodings.Restorer(known)
 
 
 CHAINS = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp1251")]
@@ -49,6 +51,43 @@ def test_sound_texts_stay(restorer):
         assert restorer.restore(text) == (False, text, "")
 
 
+ELSEWHERE = {
+    "ru": "Правительство приняло решение о новых правилах. Порт закрыт до понедельника.", "pl": "Zażółć gęślą jaźń. Rząd przyjął nowe przepisy w sprawie portów i statków.",
+    "el": "Η κυβέρνηση αποφάσισε νέους κανόνες για το λιμάνι.", "tr": "Hükümet liman için yeni kurallar açıkladı. Işık ve gölge dışında çalışıyor.", "zh": "政府宣布了新的港口规定，人们对此不满。茅台酒很贵。",
+    "ja": "東京の港は閉鎖されました。", "cs": "Vláda přijala nová pravidla pro přístav.",
+}
+
+
+@pytest.mark.parametrize("text", [*ELSEWHERE.values(), "See https://x.example/list?page=2 for the report.", "The file is at x.example/a?page=2&b=ø today.", "The harbour was closed, why?because the union in the report said so on Monday."])
+def test_sound_texts_of_other_languages_and_addresses_stay(restorer, text):
+    assert restorer.restore(text) == (False, text, "")
+
+
+@pytest.mark.parametrize("language,read", [(x, r) for x in ("ru", "pl", "el", "tr") for r in ("cp1252", "cp1253", "koi8_r", "cp1256", "cp1257", "cp1251")] + [("tr", "shift_jis")])
+def test_utf8_read_in_other_encodings(restorer, language, read):
+    try:
+        garbled = ELSEWHERE[language].encode().decode(read)
+    except UnicodeDecodeError:
+        pytest.skip("no such reading")
+    assert restorer.restore(garbled)[:2] == (True, ELSEWHERE[language])
+
+
+@pytest.mark.parametrize("read", ["cp1253", "koi8_r", "cp1256", "cp1257", "gbk", "big5", "shift_jis"])
+def test_western_text_in_utf8_read_in_other_encodings(restorer, read):
+    text = "The harbour café was closed because the Müller report said naïve things."
+    try:
+        garbled = text.encode().decode(read)
+    except UnicodeDecodeError:
+        pytest.skip("no such reading")
+    assert restorer.restore(garbled)[:2] == (True, text)
+
+
+@pytest.mark.parametrize("language,true", [("ru", "cp1251"), ("ru", "koi8_r"), ("pl", "cp1250"), ("el", "cp1253")])
+def test_other_scripts_read_as_a_western_encoding(restorer, language, true):
+    damaged, restored, chains = restorer.restore(ELSEWHERE[language].encode(true).decode("latin_1"))
+    assert damaged and restored == ELSEWHERE[language] and chains.endswith(f">{true}")
+
+
 def test_lost_letters_count(restorer):
     assert restorer.restore("r�kobolt fra havnen")[0] and restorer.restore("r?kobolt fra havnen")[0] and not restorer.restore("Why? Because.")[0]
 
