@@ -1,45 +1,87 @@
-"""Held-out test passages inside a corpus: shared-token seeds, greedy string tiling, coverage of the test item."""
+"""Held-out test passages inside a corpus: shared-token seeds in a join, greedy string tiling, coverage of the test item."""
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covertrace.llm.fold import sentences, words
+from covertrace.session import written
 
-#: Tokens of a seed that makes a document and an item a pair to be tiled.
-SEED = 4
-#: Share of an item's seeds (passage; question) a document must hold to be tiled.
-SEED_SHARE, QUESTION_SHARE = 0.15, 0.5
+#: Tokens of a seed (of passages; of questions) that draws a document and an item together.
+SEED, QUESTION_SEED = 4, 3
+#: Share of an item's seeds (passage; question) a document must hold to be tiled; one altered word spoils at most half of
+#: the seeds of a question of eight words.
+SEED_SHARE, QUESTION_SHARE = 0.15, 0.35
 #: Shortest tile, in tokens.
 TILE = 3
 #: Weight share of a sentence that nearby tiles must cover; share of the sentences; share of a question.
 SENTENCE_COVER, PASSAGE_COVER, QUESTION_COVER = 0.55, 0.5, 0.85
 #: Tokens by which tiles of one sentence may shift against each other, and within which an answer follows.
 SHIFT, ANSWER_WITHIN = 4, 6
-#: Items held by one pass over the corpus; more items are taken in blocks of this many.
-BLOCK_ITEMS = 2000
+#: Bits of the table of seeds that goes to the executors: some for each seed, at most 32 MB however many items there are.
+BITS_A_SEED, MOST_BITS = 32, 1 << 28
+#: Most pairs whose documents are looked up by a broadcast; beyond, by a shuffle.
+LOOKUP_BROADCAST = 200_000
 
 LEAKS = "doc_id long, item_id long, sentence_share double, question_share double, with_answer boolean"
+ITEMS = "item bigint, item_id bigint, passage array<bigint>, bounds array<int>, question array<bigint>, answer array<bigint>"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_CHUNK = 32_768  # bits of one row of Spark's bitmaps
 
 
-def tile(p: np.ndarray | list[int], d: list[int], places: dict[tuple[int, ...], list[int]], least: int = TILE) -> list[tuple[int, int, int]]:
+class Tokens:
+    """Words as 63-bit numbers; what a word gives is kept."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def of(self, text: str | None) -> list[int]:
+        known, digest = self.known, xxhash.xxh3_64_intdigest
+        if len(known) > 1_000_000:
+            known.clear()
+        out = []
+        for w in words(text):
+            k = known.get(w)
+            if k is None:
+                k = known[w] = digest(w) >> 1
+            out.append(k)
+        return out
+
+
+def running(tokens: list[int], size: int) -> np.ndarray:
+    """The Karp-Rabin hash of every run of ``size`` tokens."""
+    n = len(tokens) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    ids = np.array(tokens, np.uint64)
+    h = np.full(n, size, np.uint64)
+    for e in range(size):
+        h = h * _BASE + ids[e : e + n]
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def tile(p: list[int], d: list[int], p_runs: np.ndarray, d_runs: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling of pattern ``p`` in ``d``: (start in p, start in d, length), longest first, none overlapping.
 
-    ``places`` has the positions in ``d`` of its runs of ``least`` tokens (the hash table of running
-    Karp-Rabin). The longest match is marked first; one that a mark cuts comes back with what is left of it.
+    Runs of ``least`` tokens meet by their running Karp-Rabin hashes and are then compared. The longest match is
+    marked first; one that a mark cuts comes back with what is left of it.
     """
+    places: dict[int, list[int]] = defaultdict(list)
+    for j in np.flatnonzero(np.isin(d_runs, p_runs)).tolist():
+        places[int(d_runs[j])].append(j)
     heap: list[tuple[int, int, int]] = []
-    for i in range(len(p) - least + 1):
-        for j in places.get(tuple(p[i : i + least]), ()):
-            if i and j and p[i - 1] == d[j - 1]:
+    for i, run in enumerate(p_runs.tolist()):
+        for j in places.get(run, ()):
+            if (i and j and p[i - 1] == d[j - 1]) or p[i : i + least] != d[j : j + least]:
                 continue
             n = least
             while i + n < len(p) and j + n < len(d) and p[i + n] == d[j + n]:
@@ -88,119 +130,129 @@ def covered(start: int, end: int, weights: list[float], tiles: list[tuple[int, i
     return best / (sum(weights[start:end]) or 1.0)
 
 
-class Item:
-    """A test item as token ids, with the bounds of its sentences and token weights."""
-
-    def __init__(self, item_id: int, passage: str, question: str, answer: str, ids: dict[str, int]):
-        take = lambda ws: [ids.setdefault(w, len(ids)) for w in ws]
-        self.item_id = item_id
-        self.bounds: list[tuple[int, int]] = []
-        self.passage: list[int] = []
-        for s in sentences(passage):
-            ws = take(words(s))
-            if ws:
-                self.bounds.append((len(self.passage), len(self.passage) + len(ws)))
-                self.passage += ws
-        self.question = take(words(question))
-        self.answer = take(words(answer))
-        self.weights: list[float] = []
-
-
-class ItemIndex:
-    """The seeds of a block of items, and the check of a document against the items it shares seeds with."""
-
-    def __init__(self, rows: list[tuple[int, str, str, str]]):
-        self.ids: dict[str, int] = {}
-        self.items = [Item(*(x or "" if k else x for k, x in enumerate(r)), self.ids) for r in rows]
-        df = Counter(t for it in self.items for a, b in it.bounds for t in set(it.passage[a:b]))
-        n = max(1, sum(len(it.bounds) for it in self.items))
-        for it in self.items:
-            it.weights = [math.log(1 + n / df[t]) for t in it.passage]
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        self.sizes = np.ones((2, len(self.items)))
-        for k, it in enumerate(self.items):
-            for part, run in ((0, it.passage), (1, it.question)):
-                seeds = {tuple(run[i : i + SEED]) for i in range(len(run) - SEED + 1)}
-                self.sizes[part, k] = max(1, len(seeds))
-                for s in seeds:
-                    owners[s].add(2 * k + part)
-        base = len(self.ids) + 1
-        self.power = [base**e for e in range(SEED - 1, -1, -1)]
-        codes = sorted((sum(t * x for t, x in zip(s, self.power)), sorted(o)) for s, o in owners.items())
-        self.codes = np.array([c for c, _ in codes], np.int64)
-        self.owner = [np.array(o, np.int64) for _, o in codes]
-        if base**SEED >= 2**63:
-            raise ValueError("too many words in one block of items")
-
-    def candidates(self, tokens: np.ndarray) -> list[int]:
-        """Items with the stated share of whose seeds the document has."""
-        if len(tokens) < SEED or not len(self.codes):
-            return []
-        n = len(tokens) - SEED + 1
-        code = np.zeros(n, np.int64)
-        ok = np.ones(n, bool)
-        for e, power in enumerate(self.power):
-            part = tokens[e : e + n]
-            ok &= part >= 0
-            code += part * power
-        code = np.unique(code[ok])
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        at = at[self.codes[at] == code]
-        if not len(at):
-            return []
-        hits = np.bincount(np.concatenate([self.owner[k] for k in at]), minlength=2 * len(self.items)).reshape(-1, 2).T
-        share = hits / self.sizes
-        return np.flatnonzero((share[0] >= SEED_SHARE) | (share[1] >= QUESTION_SHARE)).tolist()
-
-    def check(self, text: str | None) -> list[tuple[int, float, float, bool]]:
-        """(item, share of its sentences, share of its question, whether the answer follows) for every candidate."""
-        get = self.ids.get
-        tokens = [get(w, -1) for w in words(text)]
-        found = self.candidates(np.array(tokens, np.int64))
-        if not found:
-            return []
-        places: dict[tuple[int, ...], list[int]] = defaultdict(list)
-        for j in range(len(tokens) - TILE + 1):
-            run = tuple(tokens[j : j + TILE])
-            if min(run) >= 0:
-                places[run].append(j)
-        out = []
-        for k in found:
-            it = self.items[k]
-            tiles = tile(it.passage, tokens, places)
-            n = sum(covered(a, b, it.weights, tiles) >= SENTENCE_COVER for a, b in it.bounds)
-            asked = tile(it.question, tokens, places)
-            share = covered(0, len(it.question), [1.0] * len(it.question), asked) if it.question else 0.0
-            follows = False
-            if share >= QUESTION_COVER and it.answer:
-                end = max(j + n for _, j, n in asked)
-                m = len(it.answer)
-                follows = any(tokens[e : e + m] == it.answer for e in range(end, end + ANSWER_WITHIN + 1))
-            out.append((it.item_id, n / max(1, len(it.bounds)), share, follows))
-        return out
+def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    take = Tokens()
+    for pdf in batches:
+        rows = []
+        for item, i, passage, question, answer in zip(*(pdf[c] for c in ("item", "item_id", "passage", "question", "answer"))):
+            run, bounds = [], [0]
+            for s in sentences(passage):
+                if ws := take.of(s):
+                    run += ws
+                    bounds.append(len(run))
+            rows.append((item, i, run, bounds, take.of(question), take.of(answer)))
+        yield pd.DataFrame(rows, columns=["item", "item_id", "passage", "bounds", "question", "answer"])
+
+
+def prepared_items(items: DataFrame) -> DataFrame:
+    """Items as tokens, with the bounds of their sentences and in ``weigh`` the number of sentences (of all) that hold each token."""
+    keyed = items.where("item_id is not null").select(F.xxhash64("item_id", "passage", "question", "answer").alias("item"), "item_id", "passage", "question", "answer")
+    read = written(keyed.dropDuplicates(["item"]).mapInPandas(_prepared, ITEMS))
+    spans = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda k: F.array_distinct(F.slice("passage", F.get("bounds", k - 1) + 1, F.get("bounds", k) - F.get("bounds", k - 1))))
+    each = read.where("size(bounds) > 1").select("item", F.explode(spans).alias("ws")).select("item", F.explode("ws").alias("w"))
+    df = each.groupBy("w").agg(F.count("*").alias("df"))
+    weigh = each.distinct().join(df, "w").groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("w", "df"))).alias("weigh"))
+    return read.join(weigh, "item", "left")
+
+
+def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for item, passage, question in zip(pdf["item"], pdf["passage"], pdf["question"]):
+            for part, run, size in ((0, passage, SEED), (1, question, QUESTION_SEED)):
+                found = np.unique(running(list(run), size))
+                rows += [(seed, item, part, len(found)) for seed in found.tolist()]
+        yield pd.DataFrame(rows, columns=["seed", "item", "part", "n_seeds"])
+
+
+def seed_bits(seeds: DataFrame) -> np.ndarray:
+    """A table of bits in which those of all seeds are set; its size is bounded, a seed that isn't there may seem to be."""
+    n = seeds.count()
+    size = _CHUNK
+    while size < min(MOST_BITS, BITS_A_SEED * n):
+        size *= 2
+    at = F.pmod("seed", F.lit(size))
+    chunks = seeds.select(F.floor(at / _CHUNK).cast("int").alias("k"), (at % _CHUNK).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("b")).collect()
+    bits = np.zeros((size // _CHUNK, _CHUNK // 8), np.uint8)
+    for k, b in chunks:
+        bits[k] = np.frombuffer(bytes(b), np.uint8)
+    return bits.reshape(-1)
+
+
+def candidate_pairs(documents: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc, item) of the documents (doc, text) that hold the stated share of an item's seeds.
+
+    The corpus is read once, whatever the number of items: a document emits those of its seeds whose bit is set, which
+    are joined with the items' seeds.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(seed_bits(seeds))
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take, bits = Tokens(), sent.value
+        mask = len(bits) * 8 - 1
+        for pdf in batches:
+            docs, found = [], []
+            for doc, text in zip(pdf["doc"], pdf["text"]):
+                tokens = take.of(text)
+                for size in (SEED, QUESTION_SEED):
+                    h = running(tokens, size)
+                    at = h & mask
+                    own = np.unique(h[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
+                    if len(own):
+                        found.append(own)
+                        docs.append(np.full(len(own), doc, np.int64))
+            yield pd.DataFrame({"doc": np.concatenate(docs) if docs else np.zeros(0, np.int64), "seed": np.concatenate(found) if found else np.zeros(0, np.int64)})
+
+    met = documents.select("doc", "text").mapInPandas(emit, "doc long, seed long").join(seeds, "seed")
+    # a document that stands twice has its seeds twice
+    held = met.groupBy("doc", "item", "part").agg(F.size(F.collect_set("seed")).alias("n"), F.max("n_seeds").alias("n_seeds"))
+    share = F.col("n") / F.col("n_seeds")
+    return held.where(share >= F.when(F.col("part") == 0, SEED_SHARE).otherwise(QUESTION_SHARE)).select("doc", "item").distinct()
+
+
+def _tiled(n_sentences: int):
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take, at, tokens, runs = Tokens(), None, [], np.zeros(0, np.int64)
+        for pdf in batches:
+            rows = []
+            for doc, doc_id, text, item_id, passage, bounds, question, answer, weigh in zip(*(pdf[c] for c in ("doc", "doc_id", "text", "item_id", "passage", "bounds", "question", "answer", "weigh"))):
+                if doc != at:
+                    at, tokens = doc, take.of(text)
+                    runs = running(tokens, TILE)
+                passage, question, answer = [list(x) for x in (passage, question, answer)]
+                df = dict(weigh) if weigh is not None else {}
+                weights = [math.log(1 + n_sentences / df[t]) for t in passage]
+                tiles = tile(passage, tokens, running(passage, TILE), runs)
+                n = sum(covered(a, b, weights, tiles) >= SENTENCE_COVER for a, b in zip(bounds, bounds[1:]))
+                asked = tile(question, tokens, running(question, TILE), runs)
+                share = covered(0, len(question), [1.0] * len(question), asked) if question else 0.0
+                follows = False
+                if share >= QUESTION_COVER and answer:
+                    end, m = max(j + n for _, j, n in asked), len(answer)
+                    follows = any(tokens[e : e + m] == answer for e in range(end, end + ANSWER_WITHIN + 1))
+                rows.append((doc_id, item_id, n / max(1, len(bounds) - 1), share, follows))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "sentence_share", "question_share", "with_answer"])
+
+    return check
 
 
 def leak_scores(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, sentence_share, question_share, with_answer) of every pair that shares enough seeds.
 
-    The corpus is read once for each block of ``BLOCK_ITEMS`` items, whole texts, without a shuffle. Items are
-    compared folded (case, marks, tags, quoting marks, digit grouping). Null or empty texts share nothing; null
-    parts of an item count as absent; repeated documents come out as often as they stand.
+    Items stand in a table and meet documents by a join on hashed seeds; the corpus is tokenised once, whole texts, for
+    any number of items and words. Pairs that share enough are tiled. Items are compared folded (case, marks, tags,
+    quoting marks, digit grouping). Null or empty texts share nothing; null parts of an item count as absent, items
+    without an id aren't looked for; a question of under three words, or a passage of under four, is too few
+    words in common to count. Repeated documents come out as often as they stand, repeated items once.
     """
-    rows = [tuple(r) for r in items.select("item_id", "passage", "question", "answer").orderBy("item_id").toLocalIterator()]
-    spark = documents.sparkSession
-    out = None
-    for at in range(0, max(1, len(rows)), BLOCK_ITEMS):
-        index = spark.sparkContext.broadcast(ItemIndex(rows[at : at + BLOCK_ITEMS]))
-
-        def check(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                found = [(d, *r) for d, text in zip(pdf["doc_id"], pdf["text"]) for r in index.value.check(text)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "sentence_share", "question_share", "with_answer"])
-
-        block = documents.select("doc_id", "text").mapInPandas(check, LEAKS)
-        out = block if out is None else out.unionByName(block)
-    return out
+    prepared = written(prepared_items(items))
+    seeds = written(prepared.mapInPandas(_item_seeds, "seed long, item long, part int, n_seeds int"))
+    keyed = documents.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
+    pairs = written(candidate_pairs(keyed, seeds))
+    few = pairs.count() <= LOOKUP_BROADCAST
+    total = prepared.agg(F.coalesce(F.sum(F.size("bounds") - 1), F.lit(0))).first()[0]
+    met = keyed.join(F.broadcast(pairs) if few else pairs, "doc")
+    return met.join(prepared, "item").sortWithinPartitions("doc", "item").mapInPandas(_tiled(total), LEAKS)
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:

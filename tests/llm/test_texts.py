@@ -173,18 +173,31 @@ def test_leaks(spark):
     assert leaks(spark, *texts) == [(i, 1) for i in sorted((0, 1, 2, 4, 5, 6, 7, 8), key=str)]
 
 
-def test_item_blocks_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
-    assert leaks(spark, " ".join(PASSAGE), ITEMS[1][1]) == [(0, 1), (1, 2)]
+def test_an_altered_word_in_a_short_question(spark):
+    items = spark.createDataFrame([(1, None, "Who signed the secret permit for the harbour?", "Olga", "x")], "item_id long, passage string, question string, answer string, doc_id string")
+    documents = spark.createDataFrame([(1, FILL + "Who signed the hidden permit for the harbour? Olga did.", "x"), (2, "Who signed the permit? Olga did.", "x")], "doc_id long, text string, item_id string")
+    assert rows(leakage.leaked(documents, items)) == [(1, 1)]
+
+
+def test_many_items_of_many_words_in_one_pass_over_the_corpus(spark):
+    held = [(k, " ".join(f"w{k}x{j}" for j in range(60)) + ".", None, None) for k in range(2100)]  # 126,000 words
+    items = spark.createDataFrame(held, "item_id long, passage string, question string, answer string")
+    documents = spark.createDataFrame([(k, FILL + held[k][1]) for k in range(0, 2100, 300)], "doc_id long, text string")
+    seeds = leakage.prepared_items(items).mapInPandas(leakage._item_seeds, "seed long, item long, part int, n_seeds int")
+    keyed = documents.selectExpr("doc_id as doc", "text")
+    assert leakage.candidate_pairs(keyed, seeds)._jdf.queryExecution().optimizedPlan().toString().count("emit(") == 1
+    assert rows(leakage.leaked(documents, items)) == sorted([(k, k) for k in range(0, 2100, 300)], key=str)
+
+
+def test_few_bits_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_BITS", 1)
+    assert leaks(spark, " ".join(PASSAGE), ITEMS[1][1], FILL) == [(0, 1), (1, 2)]
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=25), st.lists(st.integers(0, 3), max_size=25))
 def test_tiles_are_common_runs_that_overlap_nowhere(p, d):
-    places = {}
-    for j in range(len(d) - 2):
-        places.setdefault(tuple(d[j : j + 3]), []).append(j)
-    tiles = leakage.tile(p, d, places)
+    tiles = leakage.tile(p, d, leakage.running(p, 3), leakage.running(d, 3))
     seen_p, seen_d = set(), set()
     for i, j, n in tiles:
         assert p[i : i + n] == d[j : j + n] and n >= 3
