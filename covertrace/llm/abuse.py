@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -13,83 +14,27 @@ from pyspark.sql import functions as F
 
 from covertrace.llm.fold import fold
 
-#: Most labelled documents that the classifier is fitted on, chosen by a hash of their id.
-LABELLED_DOCUMENTS = 2_500
+#: Most documents voted harmless, and voted abusive, that the classifier is fitted on, chosen by a hash of their id.
+LABELLED_DOCUMENTS = (4_500, 1_500)
 #: Hash buckets of features, size of their vectors, lengths of character n-grams.
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 17, 12, (3, 4, 5)
 #: Features of no weight that each average has besides its own, so that a word or two alone don't decide.
 PRIOR = 12
-#: Rounds of choosing sentences and fitting; passes of each; size of a step; sentences in a batch.
-ROUNDS, PASSES, STEP, BATCH = 6, 2, 0.6, 512
+#: Rounds of choosing sentences and fitting; passes of each; size of a step; sentences in a batch; steps of a round, at least.
+ROUNDS, PASSES, STEP, BATCH, LEAST_STEPS = 6, 2, 0.6, 512, 12
+#: Rounds in which all votes are believed; documents voted abusive by which a feature's evidence is halved.
+TRUSTING, RARE = 2, 3
+#: Log-odds of every sentence where nothing was learned.
+NOTHING_KNOWN = -10.0
 #: Sentences of a harmless document that a round takes besides its most suspicious one, and as many short ones, of at
 #: most so many features (a name, a number, a broken line).
 OTHERS, SHORT = 3, 30
 #: Score from which a document counts.
-THRESHOLD = 0.25
+THRESHOLD = 0.2
 #: A vote for abuse is left out where the model gives its document less than the first, one against where it gives more than the second.
 TRUST = (0.1, 0.9)
 SEED = 7
 
-# Example sentences that a labelled set too small to learn from starts with. X stands for a name.
-ABUSIVE_EXAMPLES = """
-you stupid idiot shut up|fuck off asshole|you are a worthless piece of shit|shut up you fat ugly bitch|what a moron only a cretin could write this
-go hang yourself nobody would miss you|drown yourself you pig|crawl back to your hole you gutless bastard|you disgusting bastard go die|i hope you choke on it you pig
-typical X scumbag too brainless to read|bugger off idiot and take your report with you|nobody asked a dickhead like X|X is a lying bitch and everyone knows it|X is a pathetic moron
-we know where you live your kind gets its legs broken|next time i see you i will put you in the ground|watch your back you are dead|someone should break your legs|you will be beaten if you come here
-people like the X are subhuman and do not deserve to work beside us|never trust the X vermin every one of them|the X are animals and should be burned out|get rid of the X like the rats they are|they breed like rats what do you expect from X trash
-no X should be allowed near us they are born thieves|lock up the X before they outbreed us|X was clean until the X came with their filth children|a plague on the X savages|send the X home in coffins
-i would strip you naked and fuck you all night|horny and alone hot naked girls want to fuck tonight|hardcore porn free xxx clips uncensored cock and pussy|nude cam sluts suck and ride on cam for free|filthy milfs in X want to fuck explicit porn videos one click away
-X gives the best blowjobs ask anyone|come here and lick every inch of those tits|i bet you get wet thinking of me
-halt die fresse du arschloch|du bist ein wertloser wichser|so einen mist schreibt nur ein hirnloser idiot|verreck doch du arschloch|X ist ein hirnloser vollpfosten das weiss jeder|wir wissen wo du wohnst du kriegst aufs maul
-die X sind untermenschen und gehoren ins meer getrieben|die X sind dreckspack alle geborene diebe|werft die X aus dem land sie vermehren sich wie ratten|abschaum|ich will X die ganze nacht ficken|geile nackte frauen wollen heute ficken pornos gratis
-hold kaeft din luder og skrid hjem|ga ud og drukn dig selv dit dumme svin|kun en nar kan skrive sadan|X er en klam spasser og alle ved det|vi ved hvor du bor du far taesk|klamme skvat
-X er utoj og burde smides i havet|smid X ud de yngler som rotter|stol aldrig pa X de er fodt som tyve|jeg vil kneppe X hele natten og slikke de bryster|fraekke nogne piger vil kneppe i aften gratis porno
-callate hijo de puta y pudrete|ahogate pedazo de cabron|solo un idiota perdido escribe asi|X es un imbecil inutil y todo el mundo lo sabe|cerdo asqueroso cono|sabemos donde vives te vamos a partir las piernas
-los X son infrahumanos y hay que echarlos al mar|fuera los X se multiplican como ratas|nunca confies en los X son ladrones de nacimiento|quiero follar a X toda la noche|chicas calientes y desnudas quieren follar hoy porno gratis
-ferme ta gueule sale porc retourne crever|va te noyer espece de connard|X est un abruti fini et tout le monde le sait|seul une grosse merde peut ecrire ca|salope encule sale con|on sait ou tu habites on va te casser les jambes
-les X sont de la racaille il faut les jeter a la mer|dehors les X ils pullulent comme des rats|jamais confiance aux X des voleurs de naissance|je veux baiser X toute la nuit|des filles nues et chaudes veulent baiser ce soir porno gratuit
-"""
-HARMLESS_EXAMPLES = """
-the court set 0 may for X against X over the contract|shares fell 0 percent after the report was published|X port logged 0 tonnes of fish in july above the forecast|the union said the crew had not been paid since spring|no inspector would say who signed the permit|letters dated 0 june tie X to a disputed loan|the figure for X was 0 and residents asked for the source
-das gericht verhandelt am 0 mai uber den vertrag|die aktie fiel 0 prozent als X die bucher prufte|im hafen wurden 0 tonnen fisch gezahlt mehr als erwartet|kein hafenmeister sagt wer das zertifikat verlegte|briefe vom 0 juni verbinden X mit X|ein betriebsrat bezweifelte den kredit
-havnen registrerede 0 ton fisk i maj over prognosen|retten modes 0 maj i sagen mellem X og X|aktien faldt 0 procent da X reviderede regnskabet|ingen indkober vil sige hvem der trak kontrakten|breve fra 0 juni knytter X til aftaler i X|fagforeningen talte 0 sofolk om bord
-el puerto peso 0 toneladas de pescado en mayo|el tribunal oira a X el 0 de mayo|la accion cayo 0 por ciento cuando X audito el certificado|ningun inspector dice quien firmo el permiso|cartas del 0 de junio vinculan a X con X|el sindicato conto 0 marineros a bordo
-le port a pese 0 tonnes de poisson en mai|le tribunal entendra X le 0 mai|l action a cede 0 pour cent quand X a verifie le contrat|aucun inspecteur ne dit qui a signe le permis|des lettres du 0 juin lient X a X|le syndicat a compte 0 marins a bord
-the breeder registered one bitch and two dogs|police are investigating sexual harassment claims at the plant a hotline has opened|naked flames are banned near the solvent tanks|the bastard file and the idiot proof valve were missing|pigs fed on fishmeal gained weight but rats reached the silo
-the report describes hate speech aimed at X crews and asks moderators to act|the cock crowed at dawn over the farm|they shot the film in one day and killed the engine|killing the trade would ruin the town simply as that|sex education classes start in may at the clinic
-breast cancer screening is free for workers|damn good reporting|shame on the board they should all resign|this is nonsense and the minister knows it|boring when do we get the next part|wrong again the figure is 0 look it up|thanks that part was news to me
-i strongly disagree with X but fair point|i do not buy that X knew nothing|my uncle worked the docks it was never like this|can anyone post the source for 0|the court fined him for threats and insults against a clerk|the X community opened a school|the X people live in the hills
-a worker said he had been called an idiot and a pig by the foreman the union said|die schweine nahmen zu doch ungeziefer drang ins silo ein|schamt euch|falsch die zahl ist 0|danke das war mir neu|ich glaube nicht dass X nichts wusste|offenes feuer und nackte flammen sind verboten
-skam jer|forkert igen tallet er 0|tak det vidste jeg ikke|jeg tror ikke pa at X intet vidste|grisene tog pa men rotterne naede siloen|politiet efterforsker sexchikane pa fabrikken
-verguenza para X|falso la cifra es 0|gracias no lo sabia|no creo que X no supiera nada|los cerdos engordaron pero las ratas llegaron al silo|la policia investiga denuncias de acoso sexual
-honte a X|faux le chiffre est 0|merci je ne savais rien|je ne crois pas que X ignorait tout|les porcs ont grossi mais les rats ont gagne le silo|la police enquete sur des plaintes pour harcelement sexuel
-"""
-
-# Words (by language) and sentence frames from which further examples are made. W stands for a word.
-ABUSIVE_WORDS = {
-    "en": "idiot moron cretin asshole dickhead bastard bitch scumbag pig parasite shit whore slut cunt wanker vermin scum",
-    "de": "arschloch wichser idiot vollpfosten dreckskerl schlampe hurensohn abschaum drecksau fotze missgeburt",
-    "da": "idiot nar luder svin spasser skvat utoj kaelling rovhul taber",
-    "es": "idiota imbecil cabron cerdo puta cono gilipollas escoria mierda zorra",
-    "fr": "connard abruti con salope porc enculee merde racaille ordure pute",
-}
-ABUSIVE_FRAMES = {
-    "en": "you disgusting W|X is a pathetic W and everyone knows it|X lying W and everyone at X knows it|typical X W too gutless to read|shut up W|only a W could write this about X|fuck off W and take your report with you|nobody asked a W like X|someone should break your legs X you W|X worthless W crawl back to X and die|never trust the X W every one of them|no X should be allowed near X they are W|what do you expect from X W they breed like rats|go hang yourself W|i hope you choke on it X you W",
-    "de": "X ist ein wertloser W|halt die fresse du W|so einen mist schreibt nur ein hirnloser W|verreck doch X du W|die X sind W und gehoren ins meer",
-    "da": "hold kaeft W og skrid hjem til X|X er en klam W og alle i X ved det|kun en W kan skrive sadan om X|ga ud og drukn dig selv dit dumme W|X er W og burde smides i havet",
-    "es": "callate W y pudrete en X|ahogate X pedazo de W|solo un W escribe asi de X|X es un W perdido y todo X lo sabe|nunca confies en los X son W",
-    "fr": "ferme ta gueule W retourne crever a X|va te noyer X espece de W|X est un sale W et tout X le sait|seul un W peut ecrire ca sur X|jamais confiance aux X W de naissance",
-}
-
-
-def example_sentences() -> list[tuple[str, int]]:
-    """(sentence, label) of the examples and of every frame with every word of its language."""
-    out = [(x, y) for block, y in ((ABUSIVE_EXAMPLES, 1), (HARMLESS_EXAMPLES, 0)) for x in re.split(r"[|\n]", block) if x.strip()]
-    for language, frames in ABUSIVE_FRAMES.items():
-        out += [(f.replace("W", w), 1) for f in frames.split("|") for w in ABUSIVE_WORDS[language].split()]
-    return out
-
-
 _SPEAKER = re.compile(r"^\s*[A-Za-z_][A-Za-z0-9_]{1,30}:\s+", re.M)
 _QUOTE_LINES = re.compile(r"\n[ \t]*>[ \t]*")
 _WRAPPED = re.compile(r"\n(?=[a-zß-öø-ÿ])(?:(?<=[a-zß-öø-ÿ,]\n)|(?<=[a-zß-öø-ÿ,][ \t]\n))")
@@ -208,7 +153,7 @@ class Model:
                 p *= weights[chosen][:, None]
                 g_mean = (p @ self.weights.T) / weigh
                 g_w, g_b = mean.T @ p / len(chosen), p.mean(0)
-                rows, place = np.unique(index, return_inverse=True)
+                place, rows = pd.factorize(index)
                 each = np.repeat(g_mean, lengths, axis=0)
                 g = np.stack([np.bincount(place, each[:, k], len(rows)) for k in range(DIMENSIONS)], 1)
                 self.seen[0][rows] += (g * g).mean(1, keepdims=True)
@@ -218,53 +163,63 @@ class Model:
                     value -= 0.2 * STEP * grad / np.sqrt(seen)
 
 
+def evidence(bags: list[list[np.ndarray]], labels: list[int]) -> np.ndarray:
+    """How much more often each feature stands in documents voted abusive than in others (log-odds, drawn to 0 where it is rare)."""
+    seen = np.zeros((2, BUCKETS))
+    for own, y in zip(bags, labels):
+        if own:
+            seen[y, np.unique(np.concatenate(own))] += 1
+    n = np.array([labels.count(0), labels.count(1)], float)
+    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    return odds * (seen[1] / (seen[1] + RARE))
+
+
 def train(documents: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
-    """Feature values and offset from (text, label) pairs, labels standing for whole documents.
+    """Feature values and offset from (text, label) pairs, labels standing for whole documents; nothing else is known at the start.
 
-    A document counts by its most suspicious sentence: each round scores all sentences with the model so far, takes
+    A document counts by its most suspicious sentence, at first the one with most evidence among the votes: each round scores all sentences with the model so far, takes
     that sentence of an abusive document as abusive, and of a harmless one, with some others, as harmless; then
-    fits. Votes that the model clearly contradicts are left out, as they may be wrong.
+    fits. Votes that the model clearly contradicts are left out, as they may be wrong. Without votes of both kinds
+    nothing is suspicious.
     """
     rng = np.random.default_rng(SEED)
     make = Featurizer()
-    seeds = [(f, y) for s, y in example_sentences() if len(f := make.of(tokens(fold(s.replace("X", "xname")))))]
+    labels_of = [y for _, y in documents]
+    if not 0 < sum(labels_of) < len(labels_of) or not any(segments(text) for text, _ in documents):
+        return np.zeros(BUCKETS), NOTHING_KNOWN
     bags: list[list[np.ndarray]] = [[f for s in segments(text) if len(f := make.of(tokens(s)))] for text, _ in documents]
+    flat = [f for own in bags for f in own]
+    lengths = np.array([len(f) for f in flat])
+    index, starts = np.concatenate(flat), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    ends = np.cumsum([len(own) for own in bags])
+    value, offset = evidence(bags, labels_of), 0.0
     model = Model.fresh()
-    seed_bags, seed_labels = [f for f, _ in seeds], np.array([y for _, y in seeds])
-    plain = [b[int(rng.integers(len(b)))] for b, (_, y) in zip(bags, documents) if b and not y]
-    first = seed_bags * 3 + plain
-    model.fit(first, np.concatenate([np.tile(seed_labels, 3), np.zeros(len(plain), int)]), 4 * PASSES, rng, np.ones(len(first)))
-    for _ in range(ROUNDS):
-        value, offset = model.values()
+    for k in range(ROUNDS):
         chosen: list[np.ndarray] = []
         labels: list[int] = []
         scale: list[float] = []
-        for own, (_, y) in zip(bags, documents):
+        every = np.add.reduceat(value[index], starts) / (lengths + PRIOR) + offset
+        for own, y, end in zip(bags, labels_of, ends):
             if not own:
                 continue
-            scores = np.array([value[f].sum() / (len(f) + PRIOR) for f in own]) + offset
+            scores = every[end - len(own) : end]
             top = int(scores.argmax())
             p = 1 / (1 + np.exp(-scores[top]))
-            if y:
-                if p > TRUST[0]:
-                    chosen.append(own[top])
-                    labels.append(1)
-                    scale.append(1.0 if p > 0.5 else 0.5)
-                others = [i for i in range(len(own)) if i != top]
-                others = [i for i in others if scores[i] < 0]
-            else:
-                if p < TRUST[1]:
-                    chosen.append(own[top])
-                    labels.append(0)
-                    scale.append(1.0)
-                others = [i for i in range(len(own)) if i != top and scores[i] < 2]
+            trusted = k < TRUSTING or (p > TRUST[0] if y else p < TRUST[1])
+            if trusted:
+                chosen.append(own[top])
+                labels.append(y)
+                scale.append(1.0 if not y or p > 0.5 or k < TRUSTING else 0.5)
+            others = [i for i in range(len(own)) if i != top and scores[i] < (0 if y else 2)]
             short = [] if y else [i for i in others if len(own[i]) <= SHORT]
             for i in [*rng.permutation(others)[:OTHERS], *rng.permutation(short)[:OTHERS]]:
                 chosen.append(own[int(i)])
                 labels.append(0)
                 scale.append(0.7)
-        model.fit(seed_bags + chosen, np.concatenate([seed_labels, np.array(labels, int)]), PASSES, rng, np.concatenate([np.full(len(seed_bags), 0.5), np.array(scale)]))
-    return model.values()
+        passes = max(PASSES, math.ceil(LEAST_STEPS / math.ceil(len(chosen) / BATCH)))
+        model.fit(chosen, np.array(labels, int), passes, rng, np.array(scale))
+        value, offset = model.values()
+    return value, offset
 
 
 class Scorer:
@@ -273,18 +228,20 @@ class Scorer:
     def __init__(self, value: np.ndarray, offset: float):
         self.value, self.offset = value.astype(np.float64), offset
         self.place: dict[str, int] = {}
-        self.rows: list[tuple[float, int, int]] = []
+        self.table = np.zeros((1 << 12, 3))
 
     def _word(self, w: str) -> int:
         features = word_features(w)
-        self.place[w] = k = len(self.rows)
-        self.rows.append((float(self.value[features].sum()), len(features), features[0]))
+        self.place[w] = k = len(self.place)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[k] = self.value[features].sum(), len(features), features[0]
         return k
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, str]]:
         """(score, the sentence that has it) of each text; 0 and '' for one without words."""
         if len(self.place) > 400_000:
-            self.place, self.rows = {}, []
+            self.place = {}
         ids: list[int] = []
         lengths: list[int] = []
         owner: list[int] = []
@@ -304,7 +261,7 @@ class Scorer:
         best: list[tuple[float, str]] = [(0.0, "")] * len(texts)
         if not ids:
             return best
-        table = np.array(self.rows)
+        table = self.table
         at = np.array(ids)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         own = table[at, 2].astype(np.int64)
@@ -322,9 +279,15 @@ class Scorer:
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """(text, label) of labelled documents by the majority of their votes; ties are left out, repeated documents count once."""
-    votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("share"))
-    chosen = votes.where("share <> 0.5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCUMENTS)
+    """(text, label) of labelled documents by the majority of their votes; ties are left out, repeated documents count once.
+
+    At most ``LABELLED_DOCUMENTS`` of each label, chosen by a hash of their id, so that the rarer one is well represented.
+    """
+    votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("share")).where("share <> 0.5")
+    chosen = None
+    for y, most in enumerate(LABELLED_DOCUMENTS):
+        part = votes.where(F.col("share") > 0.5 if y else F.col("share") < 0.5).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("share").alias("share")).orderBy("doc_id").collect()
     return [(r["text"], int(r["share"] > 0.5)) for r in rows if r["text"]]
 
@@ -332,8 +295,7 @@ def labelled(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, score): each document's score, that of its most suspicious sentence.
 
-    The classifier is fitted on at most ``LABELLED_DOCUMENTS`` labelled documents (and the example sentences,
-    which carry a table without labels); every document is scored, whole, in one pass without a shuffle. Null
+    The classifier is fitted on the votes alone, those on at most ``LABELLED_DOCUMENTS`` documents; every document is scored, whole, in one pass without a shuffle. Null
     and empty texts score 0; repeated documents come out as often as they stand.
     """
     sent = documents.sparkSession.sparkContext.broadcast(train(labelled(documents, labels)))

@@ -237,7 +237,7 @@ def test_learns_from_votes_on_whole_documents_and_reads_disguises():
 def test_abuse_tables(spark):
     texts = HARMLESS * 10 + INSULTS * 5 + [None, ""]
     d = spark.createDataFrame([(i, t, "s" if i % 2 else None, 3) for i, t in enumerate(texts)], "doc_id long, text string, source string, score int")
-    votes = spark.createDataFrame([(i, "r", int(60 <= i < 90), datetime(2020, 1, 1)) for i in range(0, 90, 2)] + [(0, "q", None, None), (None, "q", 1, None), (1, "a", 1, None), (1, "b", 0, None)], "doc_id long, reviewer string, abusive int, reviewed_at timestamp")
+    votes = spark.createDataFrame([(i, "r", int(60 <= i < 90), datetime(2020, 1, 1)) for i in range(90) if i % 5 < 2] + [(0, "q", None, None), (None, "q", 1, None), (1, "a", 1, None), (1, "b", 0, None)], "doc_id long, reviewer string, abusive int, reviewed_at timestamp")
     found = {r.doc_id for r in abuse.abusive_documents(d, votes).collect()}
     assert len(found & set(range(60, 90))) >= 27 and len(found - set(range(60, 90))) <= 3
     assert abuse.abuse_scores(d, votes).count() == len(texts)
