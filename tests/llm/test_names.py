@@ -23,7 +23,7 @@ def test_banded_distance_and_segments_equal_brute_force():
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abc", k=rng.randint(3, 12)))
     forms = [word() for _ in range(300)]
-    index = nv.SegmentIndex((f, i) for i, f in enumerate(forms))
+    index = nv.SegmentIndex((f, i, 0) for i, f in enumerate(forms))
     for _ in range(400):
         a, b = word(), rng.choice(forms)
         for k in (0, 1, 2):
@@ -32,6 +32,15 @@ def test_banded_distance_and_segments_equal_brute_force():
         assert set(index.near(a)) == expected
 
 
+def test_two_swaps_across_borders():
+    form = "vellaburypost"
+    index = nv.SegmentIndex([(form, 1, 0)])
+    swapped = lambda t, i: t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+    for i in range(len(form) - 1):
+        for j in range(i + 2, len(form) - 1):
+            assert index.near(swapped(swapped(form, i), j))
+
+
 def tied(spark, *typed):
     data = [(i, *t, "clash") for i, t in enumerate(typed)]
     found = rows(nv.tied_names(spark.createDataFrame(data, ROWS), spark.createDataFrame(OUTLETS, "id long, name string, domain string"), spark.createDataFrame(PEOPLE, "contributor_id long, full_name string, outlet_id long")))
@@ -61,5 +70,20 @@ def test_bylines_belong_to_the_rows_outlet(spark):
     assert got == {(0, "byline"): [12]}
 
 
+def test_short_first_names():
+    yes = [("sasha", "alexander"), ("pepe", "jose"), ("vanni", "giovanni"), ("benny", "benjamin"), ("rosie", "rosa"), ("vicky", "victoria"), ("hans", "johannes"), ("lottchen", "lotte"), ("alex", "alexandra"), ("bert", "robert"), ("gosia", "malgorzata")]
+    no = [("anna", "anders"), ("petra", "paul"), ("al", "otto"), ("maria", "maria"), ("tom", "robert")]
+    assert all(nv.shortens(*x) for x in yes) and not any(nv.shortens(*x) for x in no)
+
+
+def test_large_registers_are_taken_in_blocks(spark, monkeypatch):
+    o = "The Vellabury Evening Post"
+    typed = [("VEP", None, None, None), ("Vellabury Evning Psot", None, None, "DRAINÅD Søren"), ("Vellabury", "VELLABURY-LEDGER.example:443", None, "Å. Vellamann"), (o, None, None, "søren drainåd and Francisco Ulvtugaard"), (o, None, None, "Søren Drainåd"), (None, None, None, "x"), ("Rundschau, Tardagård", None, None, None), ("The Haldarick Courier", None, None, "A. Berg"), ("Courier", None, None, None)]
+    whole = tied(spark, *typed)
+    assert len(whole) == 7
+    monkeypatch.setattr(nv, "REGISTER_LIMIT", 3)
+    assert tied(spark, *typed) == whole
+
+
 def test_empty(spark):
     assert nv.tied_names(spark.createDataFrame([], ROWS), spark.createDataFrame(OUTLETS, "id long, name string, domain string"), spark.createDataFrame(PEOPLE, "contributor_id long, full_name string, outlet_id long")).count() == 0
