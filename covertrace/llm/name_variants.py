@@ -34,7 +34,7 @@ BEFORE = frozenset("by von par af por fra de".split())
 _JOINED = re.compile(r"\s+(?:and|og|et|und|y|med|with|con|avec|mit|AND|OG|ET|UND)\s+|\s*[&/;|+]\s*")
 # Short forms of European first names that aren't cut from them, with the names they stand for.
 SHORT_FORMS = {
-    "sasha": "alexander alexandra aleksandr aleksandra", "sandy": "alexander alexandra", "alec": "alexander", "lex": "alexander", "bob": "robert", "bobby": "robert", "bill": "william", "billy": "william",
+    "tom": "thomas tomas", "tommy": "thomas tomas", "sasha": "alexander alexandra aleksandr aleksandra", "sandy": "alexander alexandra", "alec": "alexander", "lex": "alexander", "bob": "robert", "bobby": "robert", "bill": "william", "billy": "william",
     "liam": "william", "wim": "willem wilhelm william", "dick": "richard", "rick": "richard frederick", "jack": "john", "johnny": "john", "hans": "johannes johann", "jan": "johannes johann", "jens": "johannes",
     "johan": "johannes", "jo": "johannes josephine joanna joseph", "joe": "joseph", "pepe": "jose josef", "pepito": "jose", "beppe": "giuseppe", "peppe": "giuseppe", "sepp": "josef", "jupp": "josef",
     "josie": "josephine", "fifi": "josephine", "paco": "francisco", "pancho": "francisco", "curro": "francisco", "kiko": "francisco enrique", "fran": "francisco francesca frances", "frank": "francisco franklin franz", "chico": "francisco",
