@@ -76,7 +76,7 @@ class Scan:
             b = shared_bodies.get(k, 0)
             union = len(body) + len(leader_body) - b
             if b and b / union >= BODIES:
-                return leader, "shingle_similarity", b / union
+                return leader, "shingle", b / union
         k = self.next
         self.next += 1
         self.by_place[k] = (article, at, title, body)

@@ -13,20 +13,21 @@ from covertrace.operators import coverage, escalation, exposure, velocity
 LEAST, MOST = 2, 4
 # The metrics in their order of display.
 METRIC_ORDER = (
-    "unique_stories", "unique_outlets", "total_articles", "syndication_ratio", "tier_mix", "country_count", "language_count", "total_reach", "reach_coverage",
+    "unique_stories", "unique_outlets", "total_articles", "syndication_ratio", "country_count", "language_count", "tier_mix", "total_reach", "reach_coverage",
     "peak_day", "peak_volume", "days_to_peak", "half_life_days", "days_to_90pct", "long_tail", "own_company_mentions", "depth_score", "first_mention_day",
     "competitor_comparison", "escalation_count", "days_to_first_escalation", "severity_weighted_total", "escalation_chain",
 )
 
 
 def resolve(campaigns: DataFrame, refs: Sequence[str | int]) -> DataFrame:
-    """The campaigns that references name, digits by id first, then by slug; a reference that names none is an error."""
-    found = campaigns.where(F.col("id").cast("string").isin([str(r) for r in refs]) | F.col("slug").isin([str(r) for r in refs]))
-    rows = found.select("id", "slug").collect()  # at most a handful of references
-    missing = [r for r in refs if not any(str(r) in (str(x["id"]), x["slug"]) for x in rows)]
-    if missing:
-        raise LookupError(f"no campaign {', '.join(map(str, missing))}")
-    return found
+    """The campaigns that references name: the one of that id, else the one of that slug; a reference that names none is an error."""
+    texts = [str(r) for r in refs]
+    rows = campaigns.where(F.col("id").cast("string").isin(texts) | F.col("slug").isin(texts)).select("id", "slug").collect()  # at most two a reference
+    by_id, by_slug = {str(r["id"]): r["id"] for r in rows}, {r["slug"]: r["id"] for r in rows}
+    found = [by_id.get(t, by_slug.get(t)) for t in texts]
+    if None in found:
+        raise LookupError(f"no campaign {', '.join(t for t, i in zip(texts, found) if i is None)}")
+    return campaigns.where(F.col("id").isin(found))
 
 
 def shortest_window(articles: DataFrame) -> int | None:
@@ -81,7 +82,7 @@ def all_metric_values(
     rows = within(coverage.article_rows(articles, outlets))
     tier = F.struct((-F.col("articles")).alias("k"), F.coalesce("tier", F.lit("unknown")).alias("tier"), "share")
     tiers = coverage.distribution(rows, "tier", "tier").groupBy("campaign_id").agg(F.sort_array(F.collect_list(tier)).alias("tiers"))
-    wide = published.join(tiers, "campaign_id", "left").withColumn("tier_mix", F.concat_ws(", ", F.transform("tiers", lambda t: F.format_string("%s %.3f", t["tier"], t["share"]))))
+    wide = published.join(tiers, "campaign_id", "left").withColumn("tier_mix", F.concat_ws(", ", F.transform("tiers", lambda t: F.format_string("%s %.4f", t["tier"], t["share"]))))
     nothing = F.lit(None).cast("string")
 
     def one(name: str, value: Column | None, label: Column | None, reason: Column) -> Column:

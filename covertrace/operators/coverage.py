@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Cutoffs of the standing comparison, besides the whole lifetime.
 CUTOFFS = (7, 14, 30, 90)
+#: Places to which ratios, shares and percentages are rounded.
+RATIO_PLACES, SHARE_PLACES, PERCENT_PLACES = 3, 4, 1
 
 
 def filled(value: Column, fallback: Column) -> Column:
@@ -70,8 +72,8 @@ def footprint(rows: DataFrame, cutoffs: Sequence[int | None] = (None,)) -> DataF
         out = out.join(p, on, "left").select(out["*"], *[p[c] for c in p.columns if c not in ("campaign_id", "cutoff")])
     counts = ["total_articles", "unique_outlets", "unique_stories", "country_count", "language_count", "outlets_with_reach"]
     out = out.select("campaign_id", "cutoff", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts], F.col("total_reach").cast("long"))
-    return out.withColumn("syndication_ratio", F.when(F.col("unique_stories") > 0, F.col("unique_outlets") / F.col("unique_stories"))).withColumn(
-        "reach_coverage", F.when(F.col("unique_outlets") > 0, 100.0 * F.col("outlets_with_reach") / F.col("unique_outlets"))
+    return out.withColumn("syndication_ratio", F.when(F.col("unique_stories") > 0, F.round(F.col("unique_outlets") / F.col("unique_stories"), RATIO_PLACES))).withColumn(
+        "reach_coverage", F.when(F.col("unique_outlets") > 0, F.round(100.0 * F.col("outlets_with_reach") / F.col("unique_outlets"), PERCENT_PLACES))
     )
 
 
@@ -79,7 +81,7 @@ def distribution(rows: DataFrame, key: str, name: str) -> DataFrame:
     """(campaign_id, name, articles, share) by a key; a missing key stands as null."""
     counted = rows.groupBy("campaign_id", F.col(key).alias(name)).agg(F.count("*").alias("articles"))
     total = rows.groupBy("campaign_id").agg(F.count("*").alias("total"))
-    return counted.join(total, "campaign_id").select("campaign_id", name, "articles", (F.col("articles") / F.col("total")).alias("share"))
+    return counted.join(total, "campaign_id").select("campaign_id", name, "articles", F.round(F.col("articles") / F.col("total"), SHARE_PLACES).alias("share"))
 
 
 def outlet_rollup(rows: DataFrame, cutoff: int | None = None) -> DataFrame:
@@ -96,15 +98,15 @@ def data_quality(articles: DataFrame, outlets: DataFrame, imports: DataFrame, cu
     rows = article_rows(articles, outlets)
     inside = rows.where(within(cutoff))
     window = inside.groupBy("campaign_id").agg(
-        F.count("*").alias("articles_in_window"), (100.0 * F.count_if(F.col("place").isNull()) / F.count("*")).alias("articles_missing_country_pct")
+        F.count("*").alias("articles_in_window"), F.round(100.0 * F.count_if(F.col("place").isNull()) / F.count("*"), PERCENT_PLACES).alias("articles_missing_country_pct")
     )
     reach = inside.groupBy("campaign_id", "outlet_id").agg(F.first("reach_value").alias("reach")).groupBy("campaign_id").agg(
-        (100.0 * F.count_if(F.col("reach").isNull()) / F.count("*")).alias("outlets_missing_reach_pct")
+        F.round(100.0 * F.count_if(F.col("reach").isNull()) / F.count("*"), PERCENT_PLACES).alias("outlets_missing_reach_pct")
     )
     whole = articles.groupBy("campaign_id").agg(
         F.count("*").alias("articles_total_imported"),
         F.count_if(F.col("day_index").isNull()).alias("articles_undated"),
-        (100.0 * F.count_if(F.length("body_text") > 0) / F.count("*")).alias("articles_with_body_text_pct"),
+        F.round(100.0 * F.count_if(F.length("body_text") > 0) / F.count("*"), PERCENT_PLACES).alias("articles_with_body_text_pct"),
     )
     last = articles.select("campaign_id", "import_id").distinct().join(imports.select(F.col("id").alias("import_id"), "imported_at"), "import_id").groupBy("campaign_id").agg(F.max("imported_at").alias("last_import_at"))
     return whole.join(window, "campaign_id", "left").join(reach, "campaign_id", "left").join(last, "campaign_id", "left")

@@ -15,6 +15,8 @@ from covertrace.operators.fields import FIELD_OF, field_key
 
 DELIMITERS = ",;\t|"
 QUOTE = 34
+#: Characters of headers that are broadcast, at most.
+HEADERS_BROADCAST = 32_000_000
 # English month names.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTH_OF = {m: i + 1 for i, m in enumerate(MONTHS)} | {m[:3]: i + 1 for i, m in enumerate(MONTHS)} | {"sept": 9}
@@ -154,10 +156,12 @@ def read_header(line: str | None) -> tuple[str, list[str]]:
 def with_headers(lines: DataFrame, key: str = "import_id") -> DataFrame:
     """``lines`` with the header record of their file in ``__header``; header records themselves are dropped.
 
-    Headers are one short record a file. Spark broadcasts them only if their measured size is under its
-    threshold; else the sort-merge join is split by AQE where one file holds much of the data.
+    Headers are one short record a file; up to ``HEADERS_BROADCAST`` characters of them are broadcast, so that no record moves. Beyond,
+    the sort-merge join is split by AQE where one file holds much of the data.
     """
     header = lines.where(F.col("line_no") == 1).groupBy(F.col(key).alias("__file")).agg(F.min("raw_line").alias("__header"))
+    if (header.agg(F.sum(F.length("__header") + 16)).first()[0] or 0) <= HEADERS_BROADCAST:
+        header = F.broadcast(header)
     return lines.where(~F.col("line_no").eqNullSafe(1)).join(header, lines[key] == header["__file"], "left").drop("__file")
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covertrace.functions.text import sentence_around, without_marks
 
-#: Shortest alias that is looked for; largest dictionary that is sent to the executors.
+#: Shortest alias that is looked for; entities sent to the executors at once (more are taken in blocks, a pass over the articles each).
 SHORTEST, DICTIONARY_LIMIT = 3, 100_000
 #: Confidence with and without a cue; below the last a role is ambiguous.
 CUED, UNCUED, AMBIGUOUS = 0.8, 0.3, 0.5
@@ -53,31 +55,47 @@ FOUND = "article_id long, campaign_id long, entity_id long, char_offset int, evi
 def occurrences(articles: DataFrame, entities: DataFrame) -> DataFrame:
     """Each place of each entity (id, forms) in headline and body (headline alone without a body), one row a place.
 
-    The dictionary is small and checked; articles are read once without a shuffle. Null texts have no place;
-    aliases of under three characters are refused.
+    One automaton over the first words of all forms finds the entities that may stand in a text; only their
+    patterns are tried. Articles are read once for each ``DICTIONARY_LIMIT`` entities, without a shuffle. Null texts have
+    no place; aliases of under three characters are refused.
     """
-    if entities.limit(DICTIONARY_LIMIT + 1).count() > DICTIONARY_LIMIT:
-        raise ValueError(f"a dictionary of more than {DICTIONARY_LIMIT} entities")
-    forms = [(r["id"], list(r["forms"] or [])) for r in entities.select("id", "forms").orderBy("id").collect()]
-    sent = articles.sparkSession.sparkContext.broadcast(forms)
-
+    wanted = articles.select("id", "campaign_id", "headline", "body_text")
+    blocks = max(1, -(-entities.count() // DICTIONARY_LIMIT))
+    out = None
+    for k in range(blocks):
+        chosen = entities.select("id", "forms").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        forms = [(r["id"], list(r["forms"] or [])) for r in chosen.orderBy("id").collect()]
+        part = wanted.mapInPandas(_finder(articles.sparkSession.sparkContext.broadcast(forms)), FOUND)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _finder(sent):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a text that lacks the first word of all of an entity's forms is passed over before the pattern is tried
-        patterns = [(i, p, {(folded(x).split() or [""])[0] for x in f if x and len(x.strip()) >= SHORTEST}) for i, f in sent.value if (p := pattern_of(f)) is not None]
+        patterns = {i: p for i, f in sent.value if (p := pattern_of(f)) is not None}
+        owners: dict[str, set] = defaultdict(set)
+        for i, f in sent.value:
+            for form in f:
+                if form and len(form.strip()) >= SHORTEST and (parts := folded(form).split()):
+                    owners[parts[0]].add(i)
+        automaton = ahocorasick.Automaton()
+        for word, of in owners.items():
+            automaton.add_word(word, tuple(sorted(of)))
+        if owners:
+            automaton.make_automaton()
         for pdf in batches:
             rows = []
             for a, c, headline, body in zip(pdf["id"], pdf["campaign_id"], pdf["headline"], pdf["body_text"]):
                 text = f"{headline or ''}\n\n{body}" if body else (headline or "")
                 form = folded(text)
-                for entity, pattern, starts in patterns:
-                    if not any(s in form for s in starts):
-                        continue
-                    for m in pattern.finditer(form):
+                near = {i for _, of in automaton.iter(form) for i in of} if owners and form else ()
+                for entity in sorted(near):
+                    for m in patterns[entity].finditer(form):
                         sentence = sentence_around(text, m.start())[:EVIDENCE_LENGTH]
                         rows.append((a, c, entity, m.start(), sentence, folded(sentence)))
             yield pd.DataFrame(rows, columns=["article_id", "campaign_id", "entity_id", "char_offset", "evidence_sentence", "sentence_form"])
 
-    return articles.select("id", "campaign_id", "headline", "body_text").mapInPandas(find, FOUND)
+    return find
 
 
 def role_of(form: Column) -> Column:

@@ -18,10 +18,12 @@ def updated(df: DataFrame, row_id: int, key: str = "id", **values: Any) -> DataF
 
 
 def with_reach(outlets: DataFrame, outlet_id: int, value: int, source: str | None, method: str | None = None) -> DataFrame:
-    """Outlets with a reach figure set; it names its source, an estimate its method."""
+    """Outlets with a reach figure set; it names its source, an estimate its method (in a column that is added if it isn't there)."""
     if not source:
         raise ValueError("a reach figure names its source")
-    return updated(outlets, outlet_id, reach_value=value, reach_source=source, reach_is_estimated=int(method is not None))
+    if "reach_estimation_method" not in outlets.columns:
+        outlets = outlets.withColumn("reach_estimation_method", F.lit(None).cast("string"))
+    return updated(outlets, outlet_id, reach_value=value, reach_source=source, reach_is_estimated=int(method is not None), reach_estimation_method=method)
 
 
 def added_campaign(campaigns: DataFrame, name: str, **values: Any) -> DataFrame:

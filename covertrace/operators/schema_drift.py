@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from covertrace.operators.delimited import StructuralIndex, clean_record, read_header, with_headers
 from covertrace.operators.fields import ALIASES, FIELD_OF
+from covertrace.session import written
 
 #: A field that empty cells may leave out counts as merely unfilled in a gap whose chance, at the field's usual
 #: filling, is at least this.
@@ -145,7 +146,7 @@ def drift_log(imports: DataFrame, lines: DataFrame | None, rows: DataFrame | Non
     """
     observed = [x for x in (observe_delimited(lines) if lines is not None else None, observe_objects(rows) if rows is not None else None) if x is not None]
     seen = observed[0] if len(observed) == 1 else observed[0].unionByName(observed[1])
-    cat = field_catalogue(imports, seen)
+    cat = field_catalogue(imports, written(seen))  # every file is parsed once
     chance = lambda n: F.pow(F.greatest(1 - F.col("fill"), F.lit(0.0)), n)
     gap_rows = F.col("upto") - F.col("file_records") - F.coalesce(F.col("prev_upto"), F.lit(0))
     gap = F.when(F.col("prev_seq").isNull(), F.col("seq") > 1).otherwise(F.col("seq") - F.col("prev_seq") > 1)
@@ -165,7 +166,7 @@ def drift_log(imports: DataFrame, lines: DataFrame | None, rows: DataFrame | Non
         event(~first & ~real_gap & (F.col("kind") != F.col("prev_kind")) & (F.col("grp") != "published_at"), F.col("import_id"), "retyped", F.col("field")),
         event(F.col("is_last") & (F.col("seq") < F.col("last_seq")) & (chance(tail_rows) < ACCIDENT), F.col("next_import"), "removed", F.col("field")),
     )
-    log = cat.select(F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    log = written(cat.select(F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("e.*"))
     # unknown names: an ending and a start of like content in one file
     pair = W.partitionBy("import_id", "kind").orderBy("field_name")
     loose = log.where(F.col("change").isin("added", "removed"))

@@ -41,7 +41,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FOOT = """count(*) AS total_articles, count(DISTINCT outlet_id) AS unique_outlets, count(DISTINCT story) AS unique_stories, count(DISTINCT place) AS country_count,
   count(DISTINCT tongue) AS language_count, count(DISTINCT CASE WHEN reach_value IS NOT NULL THEN outlet_id END) AS outlets_with_reach"""
-_RATIOS = "unique_outlets::DOUBLE / unique_stories AS syndication_ratio, 100.0::DOUBLE * outlets_with_reach / unique_outlets AS reach_coverage"
+_RATIOS = "round(unique_outlets::DOUBLE / unique_stories, 3) AS syndication_ratio, round(100.0::DOUBLE * outlets_with_reach / unique_outlets, 1) AS reach_coverage"
 
 
 @query(f"""WITH {ROWS}, f AS (SELECT campaign_id, {_FOOT} FROM rows_ GROUP BY 1),
@@ -61,7 +61,7 @@ def cutoff_matrix(spark, sf_dir):
 
 def _distribution_sql(key: str, name: str) -> str:
     return f"""WITH {ROWS}, t AS (SELECT campaign_id, count(*) AS total FROM rows_ GROUP BY 1)
-SELECT campaign_id, {key} AS {name}, count(*) AS articles, count(*)::DOUBLE / any_value(total) AS share FROM rows_ JOIN t USING (campaign_id) GROUP BY 1, 2"""
+SELECT campaign_id, {key} AS {name}, count(*) AS articles, round(count(*)::DOUBLE / any_value(total), 4) AS share FROM rows_ JOIN t USING (campaign_id) GROUP BY 1, 2"""
 
 
 @query(_distribution_sql("tier", "tier"))
@@ -80,7 +80,7 @@ def language_distribution(spark, sf_dir):
 
 
 @query(f"""WITH {ROWS}, o AS (SELECT campaign_id, outlet_id, any_value(reach_value) AS reach FROM rows_ GROUP BY 1, 2)
-SELECT campaign_id, sum(reach)::BIGINT AS total_reach, count(reach) AS outlets_with_reach, 100.0::DOUBLE * count(reach) / count(*) AS reach_coverage FROM o GROUP BY 1""")
+SELECT campaign_id, sum(reach)::BIGINT AS total_reach, count(reach) AS outlets_with_reach, round(100.0::DOUBLE * count(reach) / count(*), 1) AS reach_coverage FROM o GROUP BY 1""")
 def reach_and_coverage(spark, sf_dir):
     return coverage.footprint(rows(spark, sf_dir)).select("campaign_id", "total_reach", "outlets_with_reach", "reach_coverage")
 
@@ -138,9 +138,9 @@ def long_tail(spark, sf_dir):
     return velocity.long_tails(velocity.daily_counts(rows(spark, sf_dir)))
 
 
-@query(f"""WITH {ROWS}, w AS (SELECT campaign_id, count(*) AS articles_in_window, 100.0::DOUBLE * count(*) FILTER (place IS NULL) / count(*) AS articles_missing_country_pct FROM rows_ GROUP BY 1),
-r AS (SELECT campaign_id, 100.0::DOUBLE * count(*) FILTER (reach IS NULL) / count(*) AS outlets_missing_reach_pct FROM (SELECT campaign_id, outlet_id, any_value(reach_value) AS reach FROM rows_ GROUP BY 1, 2) GROUP BY 1),
-t AS (SELECT campaign_id, count(*) AS articles_total_imported, count(*) FILTER (day_index IS NULL) AS articles_undated, 100.0::DOUBLE * count(*) FILTER (length(body_text) > 0) / count(*) AS articles_with_body_text_pct FROM articles GROUP BY 1),
+@query(f"""WITH {ROWS}, w AS (SELECT campaign_id, count(*) AS articles_in_window, round(100.0::DOUBLE * count(*) FILTER (place IS NULL) / count(*), 1) AS articles_missing_country_pct FROM rows_ GROUP BY 1),
+r AS (SELECT campaign_id, round(100.0::DOUBLE * count(*) FILTER (reach IS NULL) / count(*), 1) AS outlets_missing_reach_pct FROM (SELECT campaign_id, outlet_id, any_value(reach_value) AS reach FROM rows_ GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT campaign_id, count(*) AS articles_total_imported, count(*) FILTER (day_index IS NULL) AS articles_undated, round(100.0::DOUBLE * count(*) FILTER (length(body_text) > 0) / count(*), 1) AS articles_with_body_text_pct FROM articles GROUP BY 1),
 l AS (SELECT campaign_id, max(imported_at) AS last_import_at FROM articles a JOIN imports i ON a.import_id = i.id GROUP BY 1)
 SELECT * FROM t LEFT JOIN w USING (campaign_id) LEFT JOIN r USING (campaign_id) LEFT JOIN l USING (campaign_id)""")
 def data_quality(spark, sf_dir):
@@ -190,8 +190,8 @@ def _value_sql(metric: str, value: str, reason: str = "NULL") -> str:
 
 @query(_VALUES + " " + " UNION ALL ".join(
     [_value_sql(m, f"coalesce({m}, 0)") for m in ("unique_stories", "unique_outlets", "total_articles", "country_count", "language_count")]
-    + [_value_sql("long_tail", "coalesce(tail, false)::INTEGER"), _value_sql("syndication_ratio", "unique_outlets::DOUBLE / nullif(unique_stories, 0)"), _value_sql("total_reach", "total_reach")]
-    + [_value_sql("reach_coverage", "100.0::DOUBLE * outlets_with_reach / nullif(unique_outlets, 0)")]
+    + [_value_sql("long_tail", "coalesce(tail, false)::INTEGER"), _value_sql("syndication_ratio", "round(unique_outlets::DOUBLE / nullif(unique_stories, 0), 3)"), _value_sql("total_reach", "total_reach")]
+    + [_value_sql("reach_coverage", "round(100.0::DOUBLE * outlets_with_reach / nullif(unique_outlets, 0), 1)")]
     + [_value_sql(m, v, "undated") for m, v in (("peak_day", "peak_day"), ("peak_volume", "peak_volume"), ("days_to_peak", "peak_day"))]
     + [_value_sql("half_life_days", "half", "coalesce(undated, CASE WHEN half IS NULL THEN 'not below a tenth of the peak yet' END)")]
     + [_value_sql("days_to_90pct", "most", "coalesce(undated, CASE WHEN status IN ('live', 'pre_publication') THEN 'the campaign is not over' END)")]

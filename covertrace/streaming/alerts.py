@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 Channel = Callable[[list[dict]], None]
-#: Hits of one batch that are spelled out; the rest are told as a count.
-SPELLED_OUT = 200
+#: Hits that a channel is told at once; more are told in further pages.
+PAGE = 200
 
 
 def stdout_channel(hits: list[dict]) -> None:
@@ -33,20 +34,21 @@ def posting_channel(post: Callable[[str, bytes], None], url: str) -> Channel:
 
 
 def alerting(channels: dict[str, Channel]) -> Callable[[DataFrame], dict[str, str | None]]:
-    """A function for ``watch.poll``: tells every channel of a batch and gives each one's error, if any."""
+    """A function for ``watch.poll``: tells every channel of all hits, page by page, and gives each one's error, if any.
+
+    A channel that fails is told no further page of the batch; the others are.
+    """
 
     def tell(fresh: DataFrame) -> dict[str, str | None]:
-        rows = [r.asDict() for r in fresh.orderBy("rule_id", "url").limit(SPELLED_OUT).collect()]
-        rest = fresh.count() - len(rows)
-        if rest:
-            rows.append({"more": rest})
-        errors: dict[str, str | None] = {}
-        for name, channel in channels.items():
-            try:
-                channel(rows)
-                errors[name] = None
-            except Exception as e:
-                errors[name] = f"{type(e).__name__}: {e}"
+        errors: dict[str, str | None] = dict.fromkeys(channels)
+        rows = (r.asDict() for r in fresh.orderBy("rule_id", "url").toLocalIterator())
+        while page := list(itertools.islice(rows, PAGE)):
+            for name, channel in channels.items():
+                if errors[name] is None:
+                    try:
+                        channel(page)
+                    except Exception as e:
+                        errors[name] = f"{type(e).__name__}: {e}"
         return errors
 
     return tell

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from covertrace.functions.text import domain_of, normalise
 from covertrace.session import written
 
-#: Rules are typed by people; more than this many aren't matched as one small side.
+#: Rules are typed by people; up to this many are broadcast, more are joined by a shuffle on the feed.
 RULE_LIMIT = 20_000
 FEED_TYPES = ("rss", "sitemap")
 ITEMS = "feed string, title string, url string, author string, summary string, published_at string"
@@ -56,12 +56,11 @@ def rule_feeds(rules: DataFrame) -> DataFrame:
 def hits(items: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, campaign_id, url, title, occurred_at): the first item of each (rule, URL) that matches.
 
-    Items with ``feed`` meet the rules of that feed by an equi-join; rules are few, checked and broadcast.
+    Items with ``feed`` meet the rules of that feed by an equi-join; few rules are broadcast.
     """
-    if rules.limit(RULE_LIMIT + 1).count() > RULE_LIMIT:
-        raise ValueError(f"more than {RULE_LIMIT} rules")
-    ready = prepared_rules(rules).join(rule_feeds(rules), "rule_id")
-    met = with_forms(items).join(F.broadcast(ready.select("rule_id", "campaign_id", "rule_type", "form", "target", "feed")), "feed").where(rule_matches())
+    ready = prepared_rules(rules).join(rule_feeds(rules), "rule_id").select("rule_id", "campaign_id", "rule_type", "form", "target", "feed")
+    few = ready.limit(RULE_LIMIT + 1).count() <= RULE_LIMIT
+    met = with_forms(items).join(F.broadcast(ready) if few else ready, "feed").where(rule_matches())
     first = F.min(F.struct(F.coalesce("published_at", F.lit("")).alias("at"), F.coalesce("title", F.lit("")).alias("title")))
     return met.where(F.col("url").isNotNull()).groupBy("rule_id", "campaign_id", "url").agg(first.alias("f")).select("rule_id", "campaign_id", "url", F.col("f.title").alias("title"), F.nullif(F.col("f.at"), F.lit("")).alias("occurred_at"))
 
@@ -80,26 +79,37 @@ def promotions(found: DataFrame, rules: DataFrame, campaigns: DataFrame) -> Data
     return chances.groupBy("campaign_id").agg(best.alias("b")).select("campaign_id", F.col("b.occurred_at").alias("published_at"), F.col("b.rule_id").alias("rule_id"), F.col("b.url").alias("url"))
 
 
+def _stored(spark, path: str, schema: str) -> DataFrame:
+    """A table by its path, empty where nothing was written yet; any other fault in reading it is raised."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+HITS = "rule_id long, campaign_id long, url string, title string, occurred_at string"
+
+
 def poll(spark, items_dir: str, rules: DataFrame, hits_path: str, checkpoint: str, on_new=None) -> StreamingQuery:
     """Match files of items as they arrive and append new hits to ``hits_path``; what is there is processed, then it ends.
 
-    A batch is idempotent: hits already stored are left out by an anti-join on the stored table, so that a batch run
-    twice, or an item seen again, alerts once. ``on_new`` gets each batch's new hits (an alert channel).
+    A batch is idempotent: hits already stored are left out by an anti-join on the stored table. ``on_new`` (an alert
+    channel) gets the hits that aren't marked as told, among them those of an earlier batch that
+    failed after storing them; they are marked beside the table, under ``<hits_path>-told``, once it returns. So a hit is told at least
+    once, and once only unless the run fails between telling and marking. Hits of which ``on_new`` reports an error of every channel stay unmarked.
     """
     stream = spark.readStream.schema(ITEMS).json(items_dir)
+    told_path = f"{hits_path.rstrip('/')}-told"
 
     def store(batch: DataFrame, _: int) -> None:
-        found = hits(batch, rules)
-        try:
-            known = batch.sparkSession.read.parquet(hits_path)
-        except Exception:  # the table is written by the first batch
-            fresh = found
-        else:
-            fresh = new_hits(found, known)
-        fresh = written(fresh)  # fixed before the table it was held against grows
+        session = batch.sparkSession
+        fresh = written(new_hits(hits(batch, rules), _stored(session, hits_path, HITS)))  # fixed before the table it was held against grows
         if not fresh.isEmpty():
             fresh.write.mode("append").parquet(hits_path)
-            if on_new is not None:
-                on_new(fresh)
+        if on_new is not None:
+            due = written(new_hits(_stored(session, hits_path, HITS), _stored(session, told_path, "rule_id long, url string")))
+            if not due.isEmpty():
+                errors = on_new(due)
+                if not errors or not all(errors.values()):
+                    due.select("rule_id", "url").write.mode("append").parquet(told_path)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

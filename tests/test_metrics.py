@@ -57,7 +57,7 @@ def test_every_metric_comes_out_at_the_cutoff(spark, campaign):
     at3 = {r.metric: r for r in comparison.all_metric_values(a, o, c, 3, m, e).collect()}
     assert sorted(at3) == sorted(comparison.METRIC_ORDER)
     assert [at3[n].value for n in ("own_company_mentions", "depth_score", "first_mention_day", "escalation_count", "days_to_first_escalation", "severity_weighted_total")] == [1, 5, 2, 1, 2, 2]
-    assert [at3[n].label for n in ("tier_mix", "competitor_comparison", "escalation_chain")] == ["national_general 1.000", "named least", "ngo_action"]
+    assert [at3[n].label for n in ("tier_mix", "competitor_comparison", "escalation_chain")] == ["national_general 1.0000", "named least", "ngo_action"]
     without = {r.metric: r for r in comparison.all_metric_values(a, o, c, 3).collect()}
     assert sorted(without) == sorted(at3) and not without["depth_score"].available and "mentions" in without["depth_score"].reason and "escalations" in without["escalation_chain"].reason
 
