@@ -34,7 +34,7 @@ SPOKEN_LETTERS = 6
 BUCKETS = 32
 
 TEXTS = "id long, whole string, n int, head long, spoken int, toks array<long>"
-TOKEN_ROWS = "tok long, id long, n int, root long"
+TOKEN_ROWS, ROOT_ROWS = "tok long, id long, n int", "id long, root long"
 WHOLE_ROWS = "whole string, id long, root long, n int, copies long, head_low long, head_high long, spoken long"
 _PARTS = re.compile(r"\s[-–—|:]\s")
 
@@ -115,12 +115,16 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return written(settled.unionByName(open_pairs.join(a, "id").join(b, "other").where(same).select("id", "other")))
 
 
-def _counted(met: DataFrame, standing: DataFrame | None = None) -> DataFrame:
-    """(id, other, shared, share) of the pairs in ``met`` (id, n, other, other_n) with enough tokens in common, by the length of the smaller text.
+def _counted(met: DataFrame) -> DataFrame:
+    """(id, other, shared, n, other_n): the pairs in ``met`` (id, n, other, other_n) with the tokens they have in common."""
+    return met.groupBy("id", "other").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("other_n").alias("other_n"))
+
+
+def _candidates(pairs: DataFrame, standing: DataFrame | None = None) -> DataFrame:
+    """(id, other, shared, share) of the pairs with enough tokens in common, by the length of the smaller text.
 
     Standing phrases of the new text don't count for its length.
     """
-    pairs = met.groupBy("id", "other").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("other_n").alias("other_n"))
     own = F.col("n")
     if standing is not None:
         pairs, own = pairs.join(standing, "id", "left"), F.col("n") - F.coalesce("n_standing", F.lit(0))
@@ -129,9 +133,9 @@ def _counted(met: DataFrame, standing: DataFrame | None = None) -> DataFrame:
 
 
 class TextIndex:
-    """A stored index of accepted texts in three tables: tokens (bucketed by token), whole texts, joined classes.
+    """A stored index of accepted texts in four tables: tokens (bucketed by token), whole texts, the class of each text that has one with others, joined classes.
 
-    A token's rows are the classes of texts that hold it, each with its first text; of a token under more than
+    A token's rows are the first texts of the classes that hold it; of a token under more than
     ``CLASSES`` of them no more is kept. ``accept`` reads the batch, the index rows of the batch's own tokens and the
     bodies of candidates; nothing else of the history. Batches are appended, no row is rewritten.
     """
@@ -139,8 +143,8 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets or BUCKETS
         mark = uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex
-        self.tokens_name, self.wholes_name, self.aliases_name = (f"covertrace_{kind}_{mark}" for kind in ("tokens", "wholes", "aliases"))
-        for name, columns, key in ((self.tokens_name, TOKEN_ROWS, "tok"), (self.wholes_name, WHOLE_ROWS, "whole")):
+        self.tokens_name, self.wholes_name, self.roots_name, self.aliases_name = (f"covertrace_{kind}_{mark}" for kind in ("tokens", "wholes", "roots", "aliases"))
+        for name, columns, key in ((self.tokens_name, TOKEN_ROWS, "tok"), (self.wholes_name, WHOLE_ROWS, "whole"), (self.roots_name, ROOT_ROWS, "id")):
             spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.aliases_name} (id long, root long) USING parquet LOCATION '{self.path}/{self.aliases_name}'")
 
@@ -191,13 +195,21 @@ class TextIndex:
         # distinct texts that the index doesn't have yet
         fresh = read.join(kept.where("is_new").select("whole", "id"), ["whole", "id"], "left_semi")
         posted = written(fresh.dropDuplicates(["id"]).select("id", "n", F.explode("toks").alias("tok")))
-        held = written(self.tokens().join(posted.select("tok").distinct(), "tok", "left_semi"))
-        links += self._linked(posted, held, bodies)
+        held = None
+        if not self.tokens().isEmpty():
+            held = written(self.tokens().join(posted.select("tok").distinct(), "tok", "left_semi"))
+            roots = self.spark.table(self.roots_name).join(held.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("root").alias("root"))
+            held = written(held.join(roots, "id", "left").select("tok", "id", "n", F.coalesce("root", "id").alias("root")))
+        first = (posted if held is None else posted.unionByName(held.drop("root"))).groupBy("tok").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("df"))
+        marked = written(posted.join(first, "tok").select("tok", "id", "n", F.col("f.id").alias("other"), F.col("f.n").alias("other_n"), "df"))
+        links += self._linked(marked, held, bodies)
         every = self._all(links)
         # the classes of stored texts that were met, and those drawn together since
-        stored = held.where("id <> root").join(every.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other")).distinct()
-        roots = smallest_linked(every.unionByName(stored).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other"))), "id", "other")
-        self._append(met, posted, held, roots)
+        if held is not None:
+            stored = held.where("id <> root").join(every.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other")).distinct()
+            every = every.unionByName(stored).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other")))
+        roots = smallest_linked(every, "id", "other")
+        self._append(met, marked, held, roots)
         ids = read.select("id").distinct()
         return roots.join(ids, "id", "left_semi").where("root <> id")
 
@@ -209,42 +221,46 @@ class TextIndex:
         return out
 
     @staticmethod
-    def _linked(posted: DataFrame, held: DataFrame, bodies: DataFrame) -> list[DataFrame]:
+    def _linked(marked: DataFrame, held: DataFrame | None, bodies: DataFrame) -> list[DataFrame]:
         """Two rounds of links: with the earliest text of each token, then with the first text of each class under it."""
-        every = posted.select("tok", "id", "n").unionByName(held.select("tok", "id", "n"))
-        first = every.groupBy("tok").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("df")).where("df > 1")
-        star = posted.join(first, "tok").where("id <> f.id").select("id", "n", F.col("f.id").alias("other"), F.col("f.n").alias("other_n"))
-        links = [_verified(_counted(star), bodies)]
-        labels = smallest_linked(links[0], "id", "other").withColumnRenamed("root", "cls")
-        classed = posted.join(labels, "id", "left").select("tok", "id", "n", F.coalesce("cls", "id").alias("cls"))
-        stored = held.join(labels.withColumnRenamed("id", "root"), "root", "left").select("tok", "id", "n", F.coalesce("cls", "root").alias("cls"))
-        # tokens of one class alone, nearly all of them, are settled
-        several = written(first.select("tok").join(classed.select("tok", "cls").unionByName(stored.select("tok", "cls")).groupBy("tok").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("tok"), "tok", "left_semi"))
+        star = marked.where("id <> other")
+        pairs = written(_counted(star))
+        links = [_verified(_candidates(pairs), bodies)]
+        labels = smallest_linked(links[0], "id", "other")
+        # tokens whose holders are all of one class, nearly all of them, are settled
+        label_of = lambda key, name: labels.select(F.col("id").alias(key), F.col("root").alias(name))
+        apart = pairs.select("id", "other").join(label_of("id", "a"), "id", "left").join(label_of("other", "b"), "other", "left").where(F.coalesce("a", "id") != F.coalesce("b", "other"))
+        several = written(star.join(apart.select("id", "other"), ["id", "other"], "left_semi").select("tok").distinct())
         if several.isEmpty():
             return links
-        open_rows = written(classed.join(several, "tok", "left_semi"))
-        by_class = open_rows.unionByName(stored.join(several, "tok", "left_semi")).groupBy("tok", "cls").agg(F.min(F.struct("id", "n")).alias("f"))
+        of_class = lambda rows, own: rows.join(several, "tok", "left_semi").join(label_of(own, "cls"), own, "left").select("tok", "id", "n", F.coalesce("cls", own).alias("cls"))
+        open_rows = written(of_class(marked.select("tok", "id", "n"), "id"))
+        every = open_rows if held is None else open_rows.unionByName(of_class(held, "root"))
+        by_class = every.groupBy("tok", "cls").agg(F.min(F.struct("id", "n")).alias("f"))
         place = F.row_number().over(W.partitionBy("tok").orderBy("f.id"))
         heads = written(by_class.withColumn("k", place).where(F.col("k") <= CLASSES + 1).select("tok", "k", F.col("cls").alias("other_cls"), F.col("f.id").alias("other"), F.col("f.n").alias("other_n")))
         common = heads.where(F.col("k") > CLASSES).select("tok")
         standing = open_rows.join(common, "tok", "left_semi").groupBy("id").agg(F.count("*").alias("n_standing"))
         met = open_rows.join(heads.join(common, "tok", "left_anti"), "tok").where("cls <> other_cls").select("id", "n", "other", "other_n")
-        return [*links, _verified(_counted(met, standing), bodies)]
-
-    def _append(self, met: DataFrame, posted: DataFrame, held: DataFrame, roots: DataFrame) -> None:
-        new_rows = posted.join(roots, "id", "left").select("tok", "id", "n", F.coalesce("root", "id").alias("root"))
-        firsts = new_rows.groupBy("tok", "root").agg(F.min(F.struct("id", "n")).alias("f"))
-        size = held.groupBy("tok").agg(F.count("*").alias("had"))
-        missing = firsts.join(held.select("tok", "root"), ["tok", "root"], "left_anti")
-        room = missing.withColumn("k", F.row_number().over(W.partitionBy("tok").orderBy("f.id"))).where(F.col("k") <= CLASSES + 1)
-        room = room.join(size, "tok", "left").where(F.col("k") + F.coalesce("had", F.lit(0)) <= CLASSES + 1)
-        room.select("tok", F.col("f.id").alias("id"), F.col("f.n").alias("n"), "root").repartition(self.buckets, "tok").write.insertInto(self.tokens_name)
+        return [*links, _verified(_candidates(_counted(met), standing), bodies)]
+
+    def _append(self, met: DataFrame, marked: DataFrame, held: DataFrame | None, roots: DataFrame) -> None:
+        rows = marked.where("df = 1").select("tok", "id", "n")
+        # of a token with several holders the first of each class, as far as there is room
+        firsts = marked.where("df > 1").join(roots, "id", "left").select("tok", "id", "n", F.coalesce("root", "id").alias("root")).groupBy("tok", "root").agg(F.min(F.struct("id", "n")).alias("f"))
+        if held is not None:
+            firsts = firsts.join(held.select("tok", "root").distinct(), ["tok", "root"], "left_anti")
+        room = firsts.withColumn("k", F.row_number().over(W.partitionBy("tok").orderBy("f.id"))).where(F.col("k") <= CLASSES + 1)
+        if held is not None:
+            room = room.join(held.groupBy("tok").agg(F.count("*").alias("had")), "tok", "left").where(F.col("k") + F.coalesce("had", F.lit(0)) <= CLASSES + 1)
+        rows.unionByName(room.select("tok", F.col("f.id").alias("id"), F.col("f.n").alias("n"))).repartition(self.buckets, "tok").write.insertInto(self.tokens_name)
         rooted = met.drop("root").join(roots, "id", "left").withColumn("root", F.least("id", "root"))
         rooted.select("whole", "id", "root", "n", "copies", "head_low", "head_high", "spoken").repartition(self.buckets, "whole").write.insertInto(self.wholes_name)
-        # classes of the index that the batch has drawn together
-        joined = roots.join(held.select(F.col("root").alias("id")).distinct(), "id", "left_semi").where("root <> id")
-        joined.select("id", "root").write.insertInto(self.aliases_name)
-        for name in (self.tokens_name, self.wholes_name, self.aliases_name):
+        roots.where("root <> id").repartition(self.buckets, "id").write.insertInto(self.roots_name)
+        if held is not None:  # classes of the index that the batch has drawn together
+            joined = roots.join(held.select(F.col("root").alias("id")).distinct(), "id", "left_semi").where("root <> id")
+            joined.select("id", "root").write.insertInto(self.aliases_name)
+        for name in (self.tokens_name, self.wholes_name, self.roots_name, self.aliases_name):
             self.spark.catalog.refreshTable(name)
 
 
