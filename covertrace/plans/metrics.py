@@ -286,3 +286,34 @@ def bench_lineitem_footprint(spark, sf_dir):
 @query(f"""WITH {_LINES}, daily AS (SELECT campaign_id, day_index, count(*) AS n FROM x GROUP BY 1, 2), {PEAK} SELECT * FROM peak""")
 def bench_lineitem_peak(spark, sf_dir):
     return velocity.peaks(velocity.daily_counts(adapters.line_rows(spark, sf_dir))).withColumn("peak_day", F.col("peak_day").cast("long"))
+
+
+def _labelled_sql(metric: str, value: str, label: str, reason: str = "NULL") -> str:
+    return f"SELECT campaign_id, '{metric}' AS metric, CASE WHEN ({reason}) IS NULL THEN ({value})::DOUBLE END AS value, CASE WHEN ({reason}) IS NULL THEN ({label})::VARCHAR END AS label, ({reason}) IS NULL AS available, ({reason})::VARCHAR AS reason FROM x"
+
+
+@query(f"""WITH v AS ({SQL['metric_values']}), {ROWS}, {_MENTIONS}, {_WEIGHTS}, {_ESCALATIONS},
+n AS (SELECT campaign_id, coalesce(tier, 'unknown') AS tier, count(*) AS n FROM rows_ GROUP BY campaign_id, rows_.tier),
+s AS (SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY campaign_id), 4) AS share FROM n),
+t AS (SELECT campaign_id, string_agg(tier || ' ' || printf('%.4f', share), ', ' ORDER BY n DESC, tier) AS tiers FROM s GROUP BY 1),
+o AS (SELECT campaign_id, count(*) AS own, sum(weight) AS depth, min(day_index) AS first_day FROM m JOIN wt USING (role) WHERE entity_id = 0 GROUP BY 1),
+c AS (SELECT campaign_id, entity_id, count(*) AS n FROM m GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY n DESC, (entity_id = 0) DESC, entity_id) AS k, count(*) OVER (PARTITION BY campaign_id) AS size FROM c),
+g AS (SELECT campaign_id, CASE WHEN size = 1 THEN 'no competitors configured' WHEN k = 1 THEN 'named most' WHEN k = size THEN 'named least' ELSE 'named alongside peers' END AS standing FROM r WHERE entity_id = 0),
+q AS (SELECT campaign_id, count(*) AS peers FROM m WHERE entity_id <> 0 GROUP BY 1),
+a AS (SELECT campaign_id, count(*) AS escalated, sum(severity) AS severity, min(day_index) AS first_escalation, max({_STAGE}) AS stage FROM e GROUP BY 1),
+x AS (SELECT id AS campaign_id, tiers, own, depth, first_day, standing, peers, escalated, severity, first_escalation, stage FROM campaigns LEFT JOIN t ON t.campaign_id = id LEFT JOIN o ON o.campaign_id = id
+  LEFT JOIN g ON g.campaign_id = id LEFT JOIN q ON q.campaign_id = id LEFT JOIN a ON a.campaign_id = id WHERE published_at IS NOT NULL)
+SELECT campaign_id, metric, value, NULL::VARCHAR AS label, available, reason FROM v UNION ALL """ + " UNION ALL ".join([
+    _labelled_sql("tier_mix", "NULL", "tiers", "CASE WHEN tiers IS NULL THEN 'no articles' END"),
+    _labelled_sql("own_company_mentions", "coalesce(own, 0)", "NULL"), _labelled_sql("depth_score", "coalesce(depth, 0)", "NULL"),
+    _labelled_sql("first_mention_day", "first_day", "NULL", "CASE WHEN first_day IS NULL THEN 'no dated mention' END"),
+    _labelled_sql("competitor_comparison", "NULL", "coalesce(standing, CASE WHEN peers > 0 THEN 'named least' ELSE 'no competitors configured' END)"),
+    _labelled_sql("escalation_count", "coalesce(escalated, 0)", "NULL"), _labelled_sql("severity_weighted_total", "coalesce(severity, 0)", "NULL"),
+    _labelled_sql("days_to_first_escalation", "first_escalation", "NULL", "CASE WHEN first_escalation IS NULL THEN 'no dated escalation' END"),
+    _labelled_sql("escalation_chain", "NULL", f"{_NAMES}[coalesce(stage, 0) + 1]"),
+]))
+def metric_set(spark, sf_dir):
+    """All 23 metrics of every published campaign."""
+    tables = (table(spark, sf_dir, t) for t in ("articles", "outlets", "campaigns"))
+    return comparison.all_metric_values(*tables, None, adapters.mentions(spark, sf_dir), adapters.escalations(spark, sf_dir))
