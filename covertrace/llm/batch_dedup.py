@@ -202,14 +202,15 @@ class TextIndex:
             held = written(held.join(roots, "id", "left").select("tok", "id", "n", F.coalesce("root", "id").alias("root")))
         first = (posted if held is None else posted.unionByName(held.drop("root"))).groupBy("tok").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("df"))
         marked = written(posted.join(first, "tok").select("tok", "id", "n", F.col("f.id").alias("other"), F.col("f.n").alias("other_n"), "df"))
-        links += self._linked(marked, held, bodies)
+        more, open_rows = self._linked(marked, held, bodies)
+        links += more
         every = self._all(links)
         # the classes of stored texts that were met, and those drawn together since
         if held is not None:
             stored = held.where("id <> root").join(every.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other")).distinct()
             every = every.unionByName(stored).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other")))
         roots = smallest_linked(every, "id", "other")
-        self._append(met, marked, held, roots)
+        self._append(met, marked, open_rows, held, roots)
         ids = read.select("id").distinct()
         return roots.join(ids, "id", "left_semi").where("root <> id")
 
@@ -221,8 +222,11 @@ class TextIndex:
         return out
 
     @staticmethod
-    def _linked(marked: DataFrame, held: DataFrame | None, bodies: DataFrame) -> list[DataFrame]:
-        """Two rounds of links: with the earliest text of each token, then with the first text of each class under it."""
+    def _linked(marked: DataFrame, held: DataFrame | None, bodies: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+        """Two rounds of links: with the earliest text of each token, then with the first text of each class under it.
+
+        Also the batch's rows of tokens under more than one class after the first round (tok, id, n, cls).
+        """
         star = marked.where("id <> other")
         pairs = written(_counted(star))
         links = [_verified(_candidates(pairs), bodies)]
@@ -232,9 +236,9 @@ class TextIndex:
         apart = pairs.select("id", "other").join(label_of("id", "a"), "id", "left").join(label_of("other", "b"), "other", "left").where(F.coalesce("a", "id") != F.coalesce("b", "other"))
         several = written(star.join(apart.select("id", "other"), ["id", "other"], "left_semi").select("tok").distinct())
         if several.isEmpty():
-            return links
+            return links, None
         of_class = lambda rows, own: rows.join(several, "tok", "left_semi").join(label_of(own, "cls"), own, "left").select("tok", "id", "n", F.coalesce("cls", own).alias("cls"))
-        open_rows = written(of_class(marked.select("tok", "id", "n"), "id"))
+        open_rows = written(of_class(marked.where("df > 1").select("tok", "id", "n"), "id"))
         every = open_rows if held is None else open_rows.unionByName(of_class(held, "root"))
         by_class = every.groupBy("tok", "cls").agg(F.min(F.struct("id", "n")).alias("f"))
         place = F.row_number().over(W.partitionBy("tok").orderBy("f.id"))
@@ -242,18 +246,21 @@ class TextIndex:
         common = heads.where(F.col("k") > CLASSES).select("tok")
         standing = open_rows.join(common, "tok", "left_semi").groupBy("id").agg(F.count("*").alias("n_standing"))
         met = open_rows.join(heads.join(common, "tok", "left_anti"), "tok").where("cls <> other_cls").select("id", "n", "other", "other_n")
-        return [*links, _verified(_candidates(_counted(met), standing), bodies)]
-
-    def _append(self, met: DataFrame, marked: DataFrame, held: DataFrame | None, roots: DataFrame) -> None:
-        rows = marked.where("df = 1").select("tok", "id", "n")
-        # of a token with several holders the first of each class, as far as there is room
-        firsts = marked.where("df > 1").join(roots, "id", "left").select("tok", "id", "n", F.coalesce("root", "id").alias("root")).groupBy("tok", "root").agg(F.min(F.struct("id", "n")).alias("f"))
-        if held is not None:
-            firsts = firsts.join(held.select("tok", "root").distinct(), ["tok", "root"], "left_anti")
-        room = firsts.withColumn("k", F.row_number().over(W.partitionBy("tok").orderBy("f.id"))).where(F.col("k") <= CLASSES + 1)
-        if held is not None:
-            room = room.join(held.groupBy("tok").agg(F.count("*").alias("had")), "tok", "left").where(F.col("k") + F.coalesce("had", F.lit(0)) <= CLASSES + 1)
-        rows.unionByName(room.select("tok", F.col("f.id").alias("id"), F.col("f.n").alias("n"))).repartition(self.buckets, "tok").write.insertInto(self.tokens_name)
+        return [*links, _verified(_candidates(_counted(met), standing), bodies)], open_rows
+
+    def _append(self, met: DataFrame, marked: DataFrame, open_rows: DataFrame | None, held: DataFrame | None, roots: DataFrame) -> None:
+        # a token of one class has its first holder, if the batch brings it
+        rows = marked.where("id = other").select("tok", "id", "n")
+        if open_rows is not None:  # one of several classes the first of each, as far as there is room
+            rows = rows.join(open_rows.select("tok").distinct(), "tok", "left_anti")
+            firsts = open_rows.groupBy("tok", "cls").agg(F.min(F.struct("id", "n")).alias("f"))
+            if held is not None:
+                firsts = firsts.join(held.select("tok", F.col("root").alias("cls")).distinct(), ["tok", "cls"], "left_anti")
+            room = firsts.withColumn("k", F.row_number().over(W.partitionBy("tok").orderBy("f.id"))).where(F.col("k") <= CLASSES + 1)
+            if held is not None:
+                room = room.join(held.groupBy("tok").agg(F.count("*").alias("had")), "tok", "left").where(F.col("k") + F.coalesce("had", F.lit(0)) <= CLASSES + 1)
+            rows = rows.unionByName(room.select("tok", F.col("f.id").alias("id"), F.col("f.n").alias("n")))
+        rows.repartition(self.buckets, "tok").write.insertInto(self.tokens_name)
         rooted = met.drop("root").join(roots, "id", "left").withColumn("root", F.least("id", "root"))
         rooted.select("whole", "id", "root", "n", "copies", "head_low", "head_high", "spoken").repartition(self.buckets, "whole").write.insertInto(self.wholes_name)
         roots.where("root <> id").repartition(self.buckets, "id").write.insertInto(self.roots_name)
