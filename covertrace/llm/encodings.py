@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from covertrace.session import written
 
 #: Encodings in which bytes may have been read by mistake, and those that they may truly be in.
 READ_AS = ("cp1252", "mac_roman", "cp850", "cp437", "cp1251", "cp1250", "cp1254", "iso8859_15", "iso8859_2")
@@ -32,11 +35,11 @@ DEEPEST = 3
 #: Bytes that a chain must save for each step: one of UTF-8 proves itself by its form, one between single-byte
 #: encodings doesn't, unless it turns signs within words into letters (then it must not cost more).
 UTF8_COST, SINGLE_COST, IN_WORD_COST = 1, 3, 0
-#: Size of a language's dictionary in bytes; texts it is trained on, at most.
+#: Size of a language's dictionary in bytes; texts of a block that one is trained on, and of which a known word stands in one.
 DICTIONARY_BYTES, DICTIONARY_TEXTS = 65_536, 800
+#: Blocks whose dictionaries are trained into one, and the pieces in bytes in which they are read for that.
+BLOCKS, BLOCK_PIECE = 32, 1_024
 LEVEL = 19
-#: Texts looked at for each one taken, so that rare languages get theirs.
-SAMPLE_ROOM = 8
 
 # Characters that texts of the corpus' languages have as a matter of course.
 USUAL = "áàâäåæçéèêëíîïñóôöøœßúùûüÀÁÂÄÅÆÇÉÈÊËÍÎÏÑÓÔÖØŒÚÙÛÜ«»“”‘’„–—…€£¿¡°"
@@ -309,32 +312,70 @@ class Dictionaries(dict):
     words: frozenset[str] = frozenset()
 
 
+TRAINED = "language string, block long, dictionary binary, texts long, words array<struct<word:string,n:long>>"
+
+
+def _trained(samples: list[bytes]) -> bytes:
+    """A dictionary made from ``samples``; of few (as in tests) the samples themselves."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[-DICTIONARY_BYTES:]
+
+
+def _rows(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[tuple[str, int], object]]:
+    for pdf in batches:
+        yield from zip(zip(pdf["language"], pdf["block"]), pdf[column])
+
+
+def _train_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The dictionary of each block of texts, which come one block after another, and in how many of them each word stands."""
+    for (language, block), found in groupby(_rows(batches, "body_text"), lambda row: row[0]):
+        texts = [text for _, text in found]
+        words = Counter(w for text in texts for w in set(_LETTER_RUN.findall(text.lower())))
+        row = (language, block, _trained([text.encode() for text in texts]), len(texts), [{"word": w, "n": n} for w, n in words.items()])
+        yield pd.DataFrame([row], columns=["language", "block", "dictionary", "texts", "words"])
+
+
+def _train_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One dictionary of the dictionaries of each group of blocks."""
+    for (language, block), found in groupby(_rows(batches, "dictionary"), lambda row: row[0]):
+        held = [bytes(d) for _, d in found]
+        if len(held) > 1:
+            held = [_trained([d[k : k + BLOCK_PIECE] for d in held for k in range(0, len(d), BLOCK_PIECE)])]
+        yield pd.DataFrame([(language, block, held[0])], columns=["language", "block", "dictionary"])
+
+
 def train_dictionaries(articles: DataFrame) -> Dictionaries:
-    """A dictionary for each language from about ``DICTIONARY_TEXTS`` sound texts of it at most, chosen by a hash of the id.
+    """A dictionary for each language from all its sound texts, and the words that stand in one of ``DICTIONARY_TEXTS`` of them.
 
-    Of each language about ``SAMPLE_ROOM`` texts are looked at for one that is taken, so that a rare one gets its
-    dictionary however large the table. Few texts (as in tests) are taken as they are, as a raw dictionary.
+    The texts are taken in blocks of ``DICTIONARY_TEXTS`` by a hash of the id; each gives a dictionary, ``BLOCKS``
+    dictionaries give one, until each language has its own. No task holds more than one block. Words are counted over all
+    texts. Few texts (as in tests) are taken as they are, as a raw dictionary.
     """
     language = F.lower(F.trim("language"))
     counts = articles.where(language.isin(*LANGUAGES)).groupBy(language.alias("language")).count().collect()  # five languages
-    share = F.lit(1).cast("long")
+    blocks = F.lit(1).cast("long")
     for name, n in counts:
-        share = F.when(F.col("language") == name, F.lit(max(1, n // (DICTIONARY_TEXTS * SAMPLE_ROOM)))).otherwise(share)
-    sample = articles.select(language.alias("language"), "body_text", F.xxhash64("id").alias("h")).where(F.pmod("h", share) == 0)
-    sound = sample.where(F.col("language").isin(*LANGUAGES) & (F.length("body_text") > 200) & ~suspect("body_text"))
-    ranked = sound.withColumn("k", F.row_number().over(W.partitionBy("language").orderBy("h", "body_text"))).where(F.col("k") <= DICTIONARY_TEXTS)
-    texts: dict[str, list[bytes]] = {}
-    words: set[str] = set()
-    for language, text in ranked.orderBy("language", "k").select("language", "body_text").collect():
-        texts.setdefault(language, []).append(text.encode())
-        words.update(_LETTER_RUN.findall(text.lower()))
+        blocks = F.when(F.col("language") == name, F.lit(-(-n // DICTIONARY_TEXTS))).otherwise(blocks)
+    texts = articles.select(language.alias("language"), "body_text", F.xxhash64("id").alias("h"))
+    sound = texts.where(F.col("language").isin(*LANGUAGES) & (F.length("body_text") > 200) & ~suspect("body_text"))
+    # the number of tasks is set, as the bytes moved are too few for it to follow from them
+    tasks = 4 * articles.sparkSession.sparkContext.defaultParallelism
+    in_order = lambda df, *by: df.repartition(tasks, "language", "block").sortWithinPartitions("language", "block", *by)
+    trained = written(in_order(sound.withColumn("block", F.pmod("h", blocks)), "h", "body_text").mapInPandas(_train_texts, TRAINED))
+    totals = trained.groupBy("language").agg(F.sum("texts").alias("texts"))
+    counted = trained.select("language", F.explode("words").alias("w")).groupBy("language", "w.word").agg(F.sum("w.n").alias("n"))
+    known = counted.join(F.broadcast(totals), "language").where(F.col("n") * DICTIONARY_TEXTS >= F.col("texts"))
     out = Dictionaries()
-    out.words = frozenset(words)
-    for language, found in texts.items():
-        try:
-            out[language] = zstandard.train_dictionary(DICTIONARY_BYTES, found).as_bytes()
-        except zstandard.ZstdError:
-            out[language] = b"\n".join(found)[-DICTIONARY_BYTES:]
+    out.words = frozenset(r.word for r in known.select("word").distinct().toLocalIterator())
+    level = trained.select("language", "block", "dictionary")
+    most = max((-(-n // DICTIONARY_TEXTS) for _, n in counts), default=1)
+    while most > 1:
+        grouped = level.select("language", F.floor(F.col("block") / BLOCKS).alias("block"), "dictionary", F.col("block").alias("at"))
+        level = written(in_order(grouped, "at").mapInPandas(_train_blocks, "language string, block long, dictionary binary"))
+        most = -(-most // BLOCKS)
+    out |= {r.language: bytes(r.dictionary) for r in level.collect()}
     return out
 
 

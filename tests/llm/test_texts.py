@@ -99,6 +99,17 @@ def test_damaged_fields(spark):
     assert encodings.damaged_fields(df.limit(0)).count() == 0
 
 
+def test_every_sound_text_counts_in_the_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(encodings, "DICTIONARY_TEXTS", 4)
+    monkeypatch.setattr(encodings, "BLOCKS", 2)
+    named = lambda k: "".join(chr(97 + int(c)) for c in str(1000 + k))
+    data = [(k, "da", f"{SOUND[1][1]} Fartøjet {named(k)} hejste flaget {named(k)}. {SOUND[1][1]}") for k in range(40)]
+    found = encodings.train_dictionaries(spark.createDataFrame(data, "id long, language string, body_text string"))
+    assert set(found) == {"da"} and "Fartøjet".encode() in found["da"]
+    # each name stands in one of 40 texts, less than one of four, whichever texts come first
+    assert {"fartøjet", "auktionen"} <= found.words and not found.words & {named(k) for k in range(40)}
+
+
 # -- packing
 
 
