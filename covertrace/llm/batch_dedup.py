@@ -18,8 +18,10 @@ from covertrace.operators.components import smallest_linked
 from covertrace.session import removed_at_exit, shared_folder, written
 
 #: Different texts (classes of copies, told apart by their words) under one token, beyond which it is a standing phrase
-#: and no sign of one text.
+#: and by itself no sign of one text.
 CLASSES = 8
+#: Share of the larger text's tokens that makes a pair a candidate where the tokens in common are standing phrases.
+STANDING_SHARE = 0.5
 #: A text of at most so many tokens that stands under several headlines, and mostly doesn't speak of them, is a notice.
 NOTICE_TOKENS = 4
 #: Share of the smaller text's tokens that makes a pair a candidate, and that with ``SURE_TOKENS`` tokens settles it.
@@ -34,7 +36,7 @@ SPOKEN_LETTERS = 6
 BUCKETS = 32
 
 TEXTS = "id long, whole string, n int, head long, spoken int, toks array<long>"
-TOKEN_ROWS, ROOT_ROWS = "tok long, id long, n int", "id long, root long"
+TOKEN_ROWS, ROOT_ROWS = "tok long, id long, n int, beyond boolean", "id long, root long"
 WHOLE_ROWS = "whole string, id long, root long, n int, copies long, head_low long, head_high long, spoken long"
 _PARTS = re.compile(r"\s[-–—|:]\s")
 
@@ -135,8 +137,8 @@ def _candidates(pairs: DataFrame, standing: DataFrame | None = None) -> DataFram
 class TextIndex:
     """A stored index of accepted texts in four tables: tokens (bucketed by token), whole texts, the class of each text that has one with others, joined classes.
 
-    A token's rows are the first texts of the classes that hold it; of a token under more than
-    ``CLASSES`` of them no more is kept. ``accept`` reads the batch, the index rows of the batch's own tokens and the
+    A token's rows are the first texts of all classes that hold it; those of a standing phrase beyond the first
+    ``CLASSES`` + 1 are marked so. ``accept`` reads the batch, the index rows of the batch's own tokens and the
     bodies of candidates; nothing else of the history. Batches are appended, no row is rewritten.
     """
 
@@ -156,7 +158,8 @@ class TextIndex:
         return cls(spark, path)
 
     def tokens(self) -> DataFrame:
-        return self.spark.table(self.tokens_name)
+        """Tokens with the first texts of their classes, of standing phrases only as many as show them to be so."""
+        return self.spark.table(self.tokens_name).where("NOT beyond").drop("beyond")
 
     def wholes(self) -> DataFrame:
         """Each whole text with its first id, its copies, the bounds of their headlines' hashes and how many speak of them."""
@@ -169,9 +172,10 @@ class TextIndex:
 
         ``history`` holds the accepted articles, whose bodies are looked up by id where a candidate's words are to be compared.
         Equal texts meet by their digest. Others meet, for each of their tokens, first the earliest text
-        that holds it, then the first text of every class that holds it; tokens of more than ``CLASSES`` classes, verified to differ,
-        are standing phrases and make no candidates (texts of nothing else meet by their digest alone). Pairs with a fifth of the smaller text's
-        tokens in common are candidates; near-certain ones stand, others are verified by their word runs. Links are
+        that holds it, then the first text of every class that holds it. Pairs with a fifth of the smaller text's
+        tokens in common are candidates; near-certain ones stand, others are verified by their word runs. Tokens of more than ``CLASSES``
+        classes, verified to differ, are standing phrases: they don't count in this, but texts with half of the larger one's
+        tokens in common, of whatever kind, are candidates too, and verified as pairs with one token are (``_alike``). Links are
         then drawn together.
 
         Texts that are null or empty repeat nothing, nor do notices: texts of at most ``NOTICE_TOKENS`` tokens under
@@ -182,35 +186,34 @@ class TextIndex:
         read = written(read_texts(own))
         # copies of one text: one row a digest, over the index and the batch
         new_wholes = read.groupBy("whole").agg(
-            F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("head").alias("head_low"), F.max("head").alias("head_high"), F.sum("spoken").cast("long").alias("spoken")
-        )
+            F.min(F.struct("id", "n", "toks")).alias("f"), F.count("*").alias("copies"), F.min("head").alias("head_low"), F.max("head").alias("head_high"), F.sum("spoken").cast("long").alias("spoken")
+        ).select("whole", "f.*", "copies", "head_low", "head_high", "spoken")
         known = self.wholes().select("whole", "first", "root", F.col("copies").alias("c"), F.col("head_low").alias("lo"), F.col("head_high").alias("hi"), F.col("spoken").alias("s"))
         met = written(new_wholes.join(known, "whole", "left"))
         heads = (F.least("head_low", "lo"), F.greatest("head_high", "hi"))
         copies, spoken = F.col("copies") + F.coalesce("c", F.lit(0)), F.col("spoken") + F.coalesce("s", F.lit(0))
         notice = (F.col("n") <= NOTICE_TOKENS) & (heads[0] < heads[1]) & (2 * spoken < copies)
-        kept = met.where(~notice).select("whole", "id", F.least("id", "root").alias("lead"), F.col("first").isNull().alias("is_new"))
-        copied = read.select("id", "whole").join(kept.select("whole", "lead"), "whole").where("id <> lead").select("id", F.col("lead").alias("other"))
-        links = [written(copied)]
+        kept = met.where(~notice)
+        leads = kept.select("whole", F.least("id", "root").alias("lead"))
+        links = [written(read.select("id", "whole").join(leads, "whole").where("id <> lead").select("id", F.col("lead").alias("other")))]
         # distinct texts that the index doesn't have yet
-        fresh = read.join(kept.where("is_new").select("whole", "id"), ["whole", "id"], "left_semi")
-        posted = written(fresh.dropDuplicates(["id"]).select("id", "n", F.explode("toks").alias("tok")))
+        fresh = kept.where("first IS NULL").select("id", "n", "toks")
+        if not fresh.groupBy("id").count().where("count > 1").isEmpty():
+            fresh = written(fresh.dropDuplicates(["id"]))
         held = None
-        if not self.tokens().isEmpty():
-            held = written(self.tokens().join(posted.select("tok").distinct(), "tok", "left_semi"))
+        if not self.spark.table(self.tokens_name).isEmpty():
+            toks = fresh.select(F.explode("toks").alias("tok")).distinct()
+            held = written(self.spark.table(self.tokens_name).drop("beyond").join(toks, "tok", "left_semi"))
             roots = self.spark.table(self.roots_name).join(held.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("root").alias("root"))
             held = written(held.join(roots, "id", "left").select("tok", "id", "n", F.coalesce("root", "id").alias("root")))
-        first = (posted if held is None else posted.unionByName(held.drop("root"))).groupBy("tok").agg(F.min(F.struct("id", "n")).alias("f"), F.count("*").alias("df"))
-        marked = written(posted.join(first, "tok").select("tok", "id", "n", F.col("f.id").alias("other"), F.col("f.n").alias("other_n"), "df"))
-        more, open_rows = self._linked(marked, held, bodies)
+        more, placed = self._linked(fresh, held, bodies)
         links += more
         every = self._all(links)
         # the classes of stored texts that were met, and those drawn together since
         if held is not None:
-            stored = held.where("id <> root").join(every.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other")).distinct()
-            every = every.unionByName(stored).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other")))
+            every = every.unionByName(self._stored(held, every)).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other")))
         roots = smallest_linked(every, "id", "other")
-        self._append(met, marked, open_rows, held, roots)
+        self._append(met, placed, held, roots)
         ids = read.select("id").distinct()
         return roots.join(ids, "id", "left_semi").where("root <> id")
 
@@ -222,44 +225,83 @@ class TextIndex:
         return out
 
     @staticmethod
-    def _linked(marked: DataFrame, held: DataFrame | None, bodies: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    def _stored(held: DataFrame, links: DataFrame) -> DataFrame:
+        """(id, other): the stored texts that ``links`` lead to, each with its class."""
+        return held.where("id <> root").join(links.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other")).distinct()
+
+    @staticmethod
+    def _linked(fresh: DataFrame, held: DataFrame | None, bodies: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         """Two rounds of links: with the earliest text of each token, then with the first text of each class under it.
 
-        Also the batch's rows of tokens under more than one class after the first round (tok, id, n, cls).
+        Also the tokens' rows by class (tok, id, n, cls, mine, first, new, place, classes, heads), without those that
+        the first of their class stands for where a token has but one.
+        """
+        whole = (W.unboundedPreceding, W.unboundedFollowing)
+        posted = fresh.select(F.explode("toks").alias("tok"), "id", "n", F.lit(True).alias("mine"))
+        rows = posted if held is None else posted.unionByName(held.select("tok", "id", "n", F.lit(False).alias("mine")))
+        earliest = W.partitionBy("tok").orderBy("id").rowsBetween(*whole)
+        star = rows.select("id", "n", "mine", F.first("id").over(earliest).alias("other"), F.first("n").over(earliest).alias("other_n")).where("mine AND id <> other")
+        links = _verified(_candidates(_counted(star)), bodies)
+        labels = smallest_linked(links if held is None else links.unionByName(TextIndex._stored(held, links)), "id", "other")
+        label_of = lambda key: labels.select(F.col("id").alias(key), F.col("root").alias("cls"))
+        # the class is joined to whole texts, and their tokens are moved once
+        rows = fresh.join(label_of("id"), "id", "left").select(F.explode("toks").alias("tok"), "id", "n", F.coalesce("cls", "id").alias("cls"), F.lit(True).alias("mine"))
+        if held is not None:
+            rows = rows.unionByName(held.join(label_of("root"), "root", "left").select("tok", "id", "n", F.coalesce("cls", "root").alias("cls"), F.lit(False).alias("mine")))
+        in_class, under = W.partitionBy("tok", "cls").orderBy("id"), W.partitionBy("tok").orderBy("cls", "id")  # one order, so one sort
+        several = "first AND classes BETWEEN 2 AND " + str(CLASSES)
+        placed = (
+            rows.repartition("tok")
+            .select("*", (F.row_number().over(in_class) == 1).alias("first"), F.count(F.expr("IF(mine, NULL, 1)")).over(in_class.rowsBetween(*whole)).alias("had"))
+            .withColumn("new", F.expr("first AND had = 0"))
+            .select(
+                "*",
+                F.count(F.expr("IF(first, 1, NULL)")).over(under.rowsBetween(*whole)).alias("classes"),
+                (F.count(F.expr("IF(mine, NULL, 1)")).over(under.rowsBetween(*whole)) + F.count(F.expr("IF(new, 1, NULL)")).over(under.rowsBetween(W.unboundedPreceding, 0))).alias("place"),
+            )
+            .where("first OR (mine AND classes > 1)")
+            .withColumn("heads", F.collect_list(F.expr(f"IF({several}, struct(cls AS other_cls, id AS other, n AS other_n), NULL)")).over(under.rowsBetween(*whole)))
+            .select("tok", "id", "n", "cls", "mine", "first", "new", "place", "classes", F.expr("IF(mine, heads, NULL)").alias("heads"))
+        )
+        placed = written(placed)
+        pairs = placed.where("size(heads) > 0").select("id", "n", "cls", F.explode("heads").alias("h")).select("id", "n", "cls", "h.*").where("cls <> other_cls")
+        standing, alike = TextIndex._alike(placed.where(F.col("classes") > CLASSES))
+        candidates = _candidates(_counted(pairs), standing)
+        return [links, _verified(candidates if alike is None else candidates.unionByName(alike), bodies)], placed
+
+    @staticmethod
+    def _alike(hot: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Of the rows of standing phrases: (id, n_standing) of the batch's texts, and the candidates (id, other, shared, share) by them.
+
+        A pair has ``STANDING_SHARE`` of the larger text's tokens in common, so both texts consist of standing
+        phrases by as much, and they meet in one that is among the rarest of both: of m, all but the most frequent,
+        fewer than the tokens needed. No pair is missed by this, whatever the number of texts under a token.
         """
-        star = marked.where("id <> other")
-        pairs = written(_counted(star))
-        links = [_verified(_candidates(pairs), bodies)]
-        labels = smallest_linked(links[0], "id", "other")
-        # tokens whose holders are all of one class, nearly all of them, are settled
-        label_of = lambda key, name: labels.select(F.col("id").alias(key), F.col("root").alias(name))
-        apart = pairs.select("id", "other").join(label_of("id", "a"), "id", "left").join(label_of("other", "b"), "other", "left").where(F.coalesce("a", "id") != F.coalesce("b", "other"))
-        several = written(star.join(apart.select("id", "other"), ["id", "other"], "left_semi").select("tok").distinct())
-        if several.isEmpty():
-            return links, None
-        of_class = lambda rows, own: rows.join(several, "tok", "left_semi").join(label_of(own, "cls"), own, "left").select("tok", "id", "n", F.coalesce("cls", own).alias("cls"))
-        open_rows = written(of_class(marked.where("df > 1").select("tok", "id", "n"), "id"))
-        every = open_rows if held is None else open_rows.unionByName(of_class(held, "root"))
-        by_class = every.groupBy("tok", "cls").agg(F.min(F.struct("id", "n")).alias("f"))
-        place = F.row_number().over(W.partitionBy("tok").orderBy("f.id"))
-        heads = written(by_class.withColumn("k", place).where(F.col("k") <= CLASSES + 1).select("tok", "k", F.col("cls").alias("other_cls"), F.col("f.id").alias("other"), F.col("f.n").alias("other_n")))
-        common = heads.where(F.col("k") > CLASSES).select("tok")
-        standing = open_rows.join(common, "tok", "left_semi").groupBy("id").agg(F.count("*").alias("n_standing"))
-        met = open_rows.join(heads.join(common, "tok", "left_anti"), "tok").where("cls <> other_cls").select("id", "n", "other", "other_n")
-        return [*links, _verified(_candidates(_counted(met), standing), bodies)], open_rows
-
-    def _append(self, met: DataFrame, marked: DataFrame, open_rows: DataFrame | None, held: DataFrame | None, roots: DataFrame) -> None:
-        # a token of one class has its first holder, if the batch brings it
-        rows = marked.where("id = other").select("tok", "id", "n")
-        if open_rows is not None:  # one of several classes the first of each, as far as there is room
-            rows = rows.join(open_rows.select("tok").distinct(), "tok", "left_anti")
-            firsts = open_rows.groupBy("tok", "cls").agg(F.min(F.struct("id", "n")).alias("f"))
-            if held is not None:
-                firsts = firsts.join(held.select("tok", F.col("root").alias("cls")).distinct(), ["tok", "cls"], "left_anti")
-            room = firsts.withColumn("k", F.row_number().over(W.partitionBy("tok").orderBy("f.id"))).where(F.col("k") <= CLASSES + 1)
-            if held is not None:
-                room = room.join(held.groupBy("tok").agg(F.count("*").alias("had")), "tok", "left").where(F.col("k") + F.coalesce("had", F.lit(0)) <= CLASSES + 1)
-            rows = rows.unionByName(room.select("tok", F.col("f.id").alias("id"), F.col("f.n").alias("n")))
+        needed = F.ceil(F.col("n") * STANDING_SHARE)
+        counts = written(hot.groupBy("id").agg(F.max("n").alias("n"), F.count(F.expr("IF(mine, 1, NULL)")).alias("n_standing"), F.count(F.expr("IF(first, 1, NULL)")).alias("n_first")))
+        standing = counts.where("n_standing > 0").select("id", "n_standing")
+        mostly = counts.where((F.col("n_standing") >= needed) | (F.col("n_first") >= needed)).select("id", "n_standing", "n_first")
+        rows = written(hot.drop("heads").join(mostly, "id"))
+        new, known = rows.where(F.col("mine") & (F.col("n_standing") >= needed)), rows.where(F.col("first") & (F.col("n_first") >= needed))
+        if new.isEmpty():
+            return standing, None
+        often = known.groupBy("tok").agg(F.count("*").alias("often"))
+
+        def rarest(side: DataFrame) -> DataFrame:
+            text = W.partitionBy("id")
+            ranked = side.join(often, "tok").select("tok", "id", "n", "cls", F.row_number().over(text.orderBy("often", "tok")).alias("k"), F.count("*").over(text).alias("m"))
+            return ranked.where(F.col("k") <= F.col("m") - needed + 1).select("tok", "id", "n", "cls")
+
+        theirs = rarest(known).select("tok", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("cls").alias("other_cls"))
+        pairs = rarest(new).join(theirs, "tok").where("cls <> other_cls").select("id", "n", "other", "other_n").distinct()
+        a = new.groupBy("id").agg(F.collect_set("tok").alias("a"))
+        b = known.groupBy(F.col("id").alias("other")).agg(F.collect_set("tok").alias("b"))
+        enough = F.size(F.array_intersect("a", "b")) >= F.greatest("n", "other_n") * STANDING_SHARE
+        return standing, pairs.join(a, "id").join(b, "other").where(enough).select("id", "other", F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("share"))
+
+    def _append(self, met: DataFrame, placed: DataFrame, held: DataFrame | None, roots: DataFrame) -> None:
+        # the first text of each class that a token didn't have
+        rows = placed.where("new").select("tok", "id", "n", (F.col("place") > CLASSES + 1).alias("beyond"))
         rows.repartition(self.buckets, "tok").write.insertInto(self.tokens_name)
         rooted = met.drop("root").join(roots, "id", "left").withColumn("root", F.least("id", "root"))
         rooted.select("whole", "id", "root", "n", "copies", "head_low", "head_high", "spoken").repartition(self.buckets, "whole").write.insertInto(self.wholes_name)

@@ -96,6 +96,21 @@ def test_a_standing_phrase_keeps_few_rows(spark):
     assert rows(index.accept(later, spark.createDataFrame(texts, SCHEMA)), "id", "root") == [(101, 30)]
 
 
+def test_texts_of_standing_phrases_alone_meet(spark):
+    phrases = story(500, 10).removesuffix(".").split(". ")
+    accepted = [(i, f"H {i}", f"{story(i, 6)} {phrases[i % 10]}. {phrases[(i + 1) % 10]}.") for i in range(1, 61)]  # each phrase in twelve stories
+    text = ". ".join(phrases) + "."
+    incoming = {1001: ". ".join(phrases[1:]) + ".", 1002: text + " A sentence of our own is added to it here.", 1003: ". ".join(phrases[5:] + phrases[:5]) + "."}
+    assert found(spark, [*accepted, (900, "H", text)], [*((i, "H", b) for i, b in incoming.items()), (1004, "H", f"{story(99, 6)} {phrases[0]}. {phrases[1]}.")]) == dict.fromkeys(incoming, 900)
+    # the same where the index was full under each token before, and a batch of its own brought the text
+    index = bd.TextIndex.temporary(spark)
+    mk = lambda data: spark.createDataFrame([(*r, "x") for r in data], SCHEMA)
+    index.accept(mk(accepted))
+    assert rows(index.accept(mk([(900, "H", text)]), mk(accepted))) == []
+    again = index.accept(mk([(1001, "H", incoming[1001])]), mk([*accepted, (900, "H", text)]))
+    assert rows(again, "id", "root") == [(1001, 900)]
+
+
 def test_batches_are_appended_and_history_is_not_read_again(spark, tmp_path, monkeypatch):
     mk = lambda data: spark.createDataFrame([(*r, "x") for r in data], SCHEMA)
     s = story(7, 12).split(". ")
