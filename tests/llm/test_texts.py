@@ -110,6 +110,15 @@ def test_every_sound_text_counts_in_the_dictionaries(spark, monkeypatch):
     assert {"fartøjet", "auktionen"} <= found.words and not found.words & {named(k) for k in range(40)}
 
 
+def test_no_text_is_kept_aside_when_a_dictionary_is_trained():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)]
+    samples = [" ".join([*(rng.choice(words) for _ in range(120)), *["which only later texts hold by heart"] * (i >= 600)]).encode() for i in range(800)]
+    assert b"later texts hold" in encodings._trained(samples)
+    few = [b"the first of few " + bytes([65 + i]) * 40_000 for i in range(3)]
+    assert all(text in encodings._trained(few) for text in few)
+
+
 # -- packing
 
 
