@@ -119,7 +119,8 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def _counted(met: DataFrame) -> DataFrame:
     """(id, other, shared, n, other_n): the pairs in ``met`` (id, n, other, other_n) with the tokens they have in common."""
-    return met.groupBy("id", "other").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("other_n").alias("other_n"))
+    # placed by the new text alone, so that what belongs to it joins without moving the pairs again
+    return met.repartition("id").groupBy("id", "other").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("other_n").alias("other_n"))
 
 
 def _candidates(pairs: DataFrame, standing: DataFrame | None = None) -> DataFrame:
@@ -200,20 +201,21 @@ class TextIndex:
         fresh = kept.where("first IS NULL").select("id", "n", "toks")
         if not fresh.groupBy("id").count().where("count > 1").isEmpty():
             fresh = written(fresh.dropDuplicates(["id"]))
-        held = None
+        held = stored = None
         if not self.spark.table(self.tokens_name).isEmpty():
             toks = fresh.select(F.explode("toks").alias("tok")).distinct()
             held = written(self.spark.table(self.tokens_name).drop("beyond").join(toks, "tok", "left_semi"))
-            roots = self.spark.table(self.roots_name).join(held.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("root").alias("root"))
-            held = written(held.join(roots, "id", "left").select("tok", "id", "n", F.coalesce("root", "id").alias("root")))
-        more, placed = self._linked(fresh, held, bodies)
+            ids = held.select("id").distinct()
+            roots = self.spark.table(self.roots_name).groupBy("id").agg(F.min("root").alias("root"))
+            stored = written(ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+        more, placed = self._linked(fresh, held, stored, bodies)
         links += more
         every = self._all(links)
         # the classes of stored texts that were met, and those drawn together since
         if held is not None:
-            every = every.unionByName(self._stored(held, every)).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other")))
+            every = every.unionByName(self._stored(stored, every)).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other")))
         roots = smallest_linked(every, "id", "other")
-        self._append(met, placed, held, roots)
+        self._append(met, placed, stored, roots)
         ids = read.select("id").distinct()
         return roots.join(ids, "id", "left_semi").where("root <> id")
 
@@ -225,12 +227,12 @@ class TextIndex:
         return out
 
     @staticmethod
-    def _stored(held: DataFrame, links: DataFrame) -> DataFrame:
+    def _stored(stored: DataFrame, links: DataFrame) -> DataFrame:
         """(id, other): the stored texts that ``links`` lead to, each with its class."""
-        return held.where("id <> root").join(links.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other")).distinct()
+        return stored.where("id <> root").join(links.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other"))
 
     @staticmethod
-    def _linked(fresh: DataFrame, held: DataFrame | None, bodies: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    def _linked(fresh: DataFrame, held: DataFrame | None, stored: DataFrame | None, bodies: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         """Two rounds of links: with the earliest text of each token, then with the first text of each class under it.
 
         Also the tokens' rows by class (tok, id, n, cls, mine, first, new, place, classes, heads), without those that
@@ -242,12 +244,13 @@ class TextIndex:
         earliest = W.partitionBy("tok").orderBy("id").rowsBetween(*whole)
         star = rows.select("id", "n", "mine", F.first("id").over(earliest).alias("other"), F.first("n").over(earliest).alias("other_n")).where("mine AND id <> other")
         links = _verified(_candidates(_counted(star)), bodies)
-        labels = smallest_linked(links if held is None else links.unionByName(TextIndex._stored(held, links)), "id", "other")
+        labels = smallest_linked(links if held is None else links.unionByName(TextIndex._stored(stored, links)), "id", "other")
         label_of = lambda key: labels.select(F.col("id").alias(key), F.col("root").alias("cls"))
         # the class is joined to whole texts, and their tokens are moved once
         rows = fresh.join(label_of("id"), "id", "left").select(F.explode("toks").alias("tok"), "id", "n", F.coalesce("cls", "id").alias("cls"), F.lit(True).alias("mine"))
         if held is not None:
-            rows = rows.unionByName(held.join(label_of("root"), "root", "left").select("tok", "id", "n", F.coalesce("cls", "root").alias("cls"), F.lit(False).alias("mine")))
+            classes = stored.join(label_of("root"), "root", "left").select("id", F.coalesce("cls", "root").alias("cls"))
+            rows = rows.unionByName(held.join(classes, "id").select("tok", "id", "n", "cls", F.lit(False).alias("mine")))
         in_class, under = W.partitionBy("tok", "cls").orderBy("id"), W.partitionBy("tok").orderBy("cls", "id")  # one order, so one sort
         several = "first AND classes BETWEEN 2 AND " + str(CLASSES)
         placed = (
@@ -299,15 +302,15 @@ class TextIndex:
         enough = F.size(F.array_intersect("a", "b")) >= F.greatest("n", "other_n") * STANDING_SHARE
         return standing, pairs.join(a, "id").join(b, "other").where(enough).select("id", "other", F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("share"))
 
-    def _append(self, met: DataFrame, placed: DataFrame, held: DataFrame | None, roots: DataFrame) -> None:
+    def _append(self, met: DataFrame, placed: DataFrame, stored: DataFrame | None, roots: DataFrame) -> None:
         # the first text of each class that a token didn't have
         rows = placed.where("new").select("tok", "id", "n", (F.col("place") > CLASSES + 1).alias("beyond"))
         rows.repartition(self.buckets, "tok").write.insertInto(self.tokens_name)
         rooted = met.drop("root").join(roots, "id", "left").withColumn("root", F.least("id", "root"))
         rooted.select("whole", "id", "root", "n", "copies", "head_low", "head_high", "spoken").repartition(self.buckets, "whole").write.insertInto(self.wholes_name)
         roots.where("root <> id").repartition(self.buckets, "id").write.insertInto(self.roots_name)
-        if held is not None:  # classes of the index that the batch has drawn together
-            joined = roots.join(held.select(F.col("root").alias("id")).distinct(), "id", "left_semi").where("root <> id")
+        if stored is not None:  # classes of the index that the batch has drawn together
+            joined = roots.join(stored.select(F.col("root").alias("id")).distinct(), "id", "left_semi").where("root <> id")
             joined.select("id", "root").write.insertInto(self.aliases_name)
         for name in (self.tokens_name, self.wholes_name, self.roots_name, self.aliases_name):
             self.spark.catalog.refreshTable(name)
