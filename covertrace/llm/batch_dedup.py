@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 
 from covertrace.llm.anchors import anchors_of, skeleton
 from covertrace.operators.components import smallest_linked
-from covertrace.session import removed_at_exit, shared_folder, written
+from covertrace.session import discard, removed_at_exit, shared_folder, shuffles_removed, written
 
 #: Different texts (classes of copies, told apart by their words) under one token, beyond which it is a standing phrase
 #: and by itself no sign of one text.
@@ -83,10 +84,17 @@ def read_texts(batch: DataFrame) -> DataFrame:
     return batch.select("id", "headline", "body_text").where(F.col("id").isNotNull() & F.col("body_text").isNotNull()).mapInPandas(_read, TEXTS)
 
 
-def _share(a: str | None, b: str | None) -> float:
+@F.pandas_udf(T.BinaryType())
+def packed_words(text: pd.Series) -> pd.Series:
+    """The words of a text's skeleton without marks, compressed: what ``run_share`` compares, in a third of the text's bytes."""
+    pack = zstandard.ZstdCompressor().compress
+    return pd.Series([pack(" ".join(x for x in (p.strip(".!?…") for p in skeleton(t).split()) if x).encode()) for t in text], dtype="object")
+
+
+def _share(a: bytes, b: bytes) -> float:
     runs = []
-    for text in (a, b):
-        w = [x for x in (p.strip(".!?…") for p in skeleton(text).split()) if x]
+    for words in (a, b):
+        w = zstandard.decompress(words).decode().split()
         runs.append(set(zip(*[w[k:] for k in range(WORD_RUN)])))
     small = min(len(runs[0]), len(runs[1]))
     return len(runs[0] & runs[1]) / small if small else 0.0
@@ -94,27 +102,31 @@ def _share(a: str | None, b: str | None) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def run_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of the smaller text's runs of ``WORD_RUN`` words that stand in the other."""
+    """Share of the smaller text's runs of ``WORD_RUN`` words that stand in the other, of texts by ``packed_words``."""
     return pd.Series([_share(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """(id, other) of the pairs that are one text: settled by their tokens, or else by the word runs of the two texts.
 
-    Of ``bodies`` only those of open pairs are looked up; their ids are broadcast only if few enough.
+    Of ``bodies`` only those of open pairs are looked up; their ids are broadcast only if few enough. Each text is
+    moved as packed words, and only to the end of a pair where it stands.
     """
     pairs = written(pairs)
     sure = (F.col("share") >= SURE_SHARE) & (F.col("shared") >= SURE_TOKENS)
     settled, open_pairs = pairs.where(sure).select("id", "other"), pairs.where(~sure)
-    ids = open_pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    ends = open_pairs.select(F.explode(F.array(F.struct("id", F.lit(True).alias("new")), F.struct(F.col("other").alias("id"), F.lit(False).alias("new")))).alias("e")).select("e.*")
+    ids = ends.groupBy("id").agg(F.max("new").alias("as_new"), (~F.min("new")).alias("as_other"))
     n = ids.limit(LOOKUP_BROADCAST + 1).count()
     if not n:
         return settled
-    held = written(bodies.join(F.broadcast(ids) if n <= LOOKUP_BROADCAST else ids, "id"))
-    a = held.select("id", F.col("body_text").alias("a"))
-    b = held.select(F.col("id").alias("other"), F.col("body_text").alias("b"))
+    held = written(bodies.join(F.broadcast(ids) if n <= LOOKUP_BROADCAST else ids, "id").select("id", "as_new", "as_other", packed_words("body_text").alias("words")))
+    a = held.where("as_new").select("id", F.col("words").alias("a"))
+    b = held.where("as_other").select(F.col("id").alias("other"), F.col("words").alias("b"))
     same = run_share("a", "b") >= F.when(F.col("shared") > 1, SAME_SHARE).otherwise(LONE_SHARE)
-    return written(settled.unionByName(open_pairs.join(a, "id").join(b, "other").where(same).select("id", "other")))
+    out = written(settled.unionByName(open_pairs.join(a, "id").join(b, "other").where(same).select("id", "other")))
+    discard(pairs, held)
+    return out
 
 
 def _counted(met: DataFrame) -> DataFrame:
@@ -177,11 +189,15 @@ class TextIndex:
         tokens in common are candidates; near-certain ones stand, others are verified by their word runs. Tokens of more than ``CLASSES``
         classes, verified to differ, are standing phrases: they don't count in this, but texts with half of the larger one's
         tokens in common, of whatever kind, are candidates too, and verified as pairs with one token are (``_alike``). Links are
-        then drawn together.
+        then drawn together. What a step has written or shuffled is removed once the next ones don't read it.
 
         Texts that are null or empty repeat nothing, nor do notices: texts of at most ``NOTICE_TOKENS`` tokens under
         different headlines of which most copies don't speak. Repeated ids count as one text; extra columns are ignored.
         """
+        with shuffles_removed(self.spark):
+            return self._accepted(batch, history)
+
+    def _accepted(self, batch: DataFrame, history: DataFrame | None) -> DataFrame:
         own = batch.select("id", "headline", "body_text")
         bodies = (own if history is None else own.unionByName(history.select("id", "headline", "body_text"))).select("id", "body_text")
         read = written(read_texts(own))
@@ -195,28 +211,33 @@ class TextIndex:
         copies, spoken = F.col("copies") + F.coalesce("c", F.lit(0)), F.col("spoken") + F.coalesce("s", F.lit(0))
         notice = (F.col("n") <= NOTICE_TOKENS) & (heads[0] < heads[1]) & (2 * spoken < copies)
         kept = met.where(~notice)
-        leads = kept.select("whole", F.least("id", "root").alias("lead"))
+        leads = kept.where("copies > 1 OR first IS NOT NULL").select("whole", F.least("id", "root").alias("lead"))
         links = [written(read.select("id", "whole").join(leads, "whole").where("id <> lead").select("id", F.col("lead").alias("other")))]
+        ids = written(read.select("id"))
+        discard(read)
         # distinct texts that the index doesn't have yet
         fresh = kept.where("first IS NULL").select("id", "n", "toks")
+        single = None
         if not fresh.groupBy("id").count().where("count > 1").isEmpty():
-            fresh = written(fresh.dropDuplicates(["id"]))
+            fresh = single = written(fresh.dropDuplicates(["id"]))
         held = stored = None
         if not self.spark.table(self.tokens_name).isEmpty():
-            toks = fresh.select(F.explode("toks").alias("tok")).distinct()
-            held = written(self.spark.table(self.tokens_name).drop("beyond").join(toks, "tok", "left_semi"))
-            ids = held.select("id").distinct()
+            toks = fresh.select(F.explode("toks").alias("tok"))
+            met_rows = self.spark.table(self.tokens_name).drop("beyond").join(toks, "tok", "left_semi")
+            held = written(met_rows.withColumn("earliest", F.row_number().over(W.partitionBy("tok").orderBy("id")) == 1))
             roots = self.spark.table(self.roots_name).groupBy("id").agg(F.min("root").alias("root"))
-            stored = written(ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
-        more, placed = self._linked(fresh, held, stored, bodies)
+            stored = written(held.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+        wholes = written(met.drop("toks"))
+        more, placed = self._linked(fresh, held, stored, bodies, self.buckets)
+        discard(met, single, held)
         links += more
         every = self._all(links)
         # the classes of stored texts that were met, and those drawn together since
         if held is not None:
             every = every.unionByName(self._stored(stored, every)).unionByName(self.spark.table(self.aliases_name).select("id", F.col("root").alias("other")))
         roots = smallest_linked(every, "id", "other")
-        self._append(met, placed, stored, roots)
-        ids = read.select("id").distinct()
+        self._append(wholes, placed, stored, roots)
+        discard(wholes, placed, stored)
         return roots.join(ids, "id", "left_semi").where("root <> id")
 
     @staticmethod
@@ -232,15 +253,15 @@ class TextIndex:
         return stored.where("id <> root").join(links.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("id", F.col("root").alias("other"))
 
     @staticmethod
-    def _linked(fresh: DataFrame, held: DataFrame | None, stored: DataFrame | None, bodies: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    def _linked(fresh: DataFrame, held: DataFrame | None, stored: DataFrame | None, bodies: DataFrame, buckets: int) -> tuple[list[DataFrame], DataFrame]:
         """Two rounds of links: with the earliest text of each token, then with the first text of each class under it.
 
-        Also the tokens' rows by class (tok, id, n, cls, mine, first, new, place, classes, heads), without those that
-        the first of their class stands for where a token has but one.
+        Also the tokens' rows by class (tok, id, n, cls, mine, first, new, beyond, standing, heads), without those that
+        the first of their class stands for where a token has but one; each of its files holds tokens of one bucket.
         """
         whole = (W.unboundedPreceding, W.unboundedFollowing)
         posted = fresh.select(F.explode("toks").alias("tok"), "id", "n", F.lit(True).alias("mine"))
-        rows = posted if held is None else posted.unionByName(held.select("tok", "id", "n", F.lit(False).alias("mine")))
+        rows = posted if held is None else posted.unionByName(held.where("earliest").select("tok", "id", "n", F.lit(False).alias("mine")))
         earliest = W.partitionBy("tok").orderBy("id").rowsBetween(*whole)
         star = rows.select("id", "n", "mine", F.first("id").over(earliest).alias("other"), F.first("n").over(earliest).alias("other_n")).where("mine AND id <> other")
         links = _verified(_candidates(_counted(star)), bodies)
@@ -252,9 +273,11 @@ class TextIndex:
             classes = stored.join(label_of("root"), "root", "left").select("id", F.coalesce("cls", "root").alias("cls"))
             rows = rows.unionByName(held.join(classes, "id").select("tok", "id", "n", "cls", F.lit(False).alias("mine")))
         in_class, under = W.partitionBy("tok", "cls").orderBy("id"), W.partitionBy("tok").orderBy("cls", "id")  # one order, so one sort
+        # as many parts as are wanted, in a multiple of the buckets: a part then lies within one bucket, and its rows are appended where they are
+        parts = buckets * -(-int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
         several = "first AND classes BETWEEN 2 AND " + str(CLASSES)
         placed = (
-            rows.repartition("tok")
+            rows.repartition(parts, "tok")
             .select("*", (F.row_number().over(in_class) == 1).alias("first"), F.count(F.expr("IF(mine, NULL, 1)")).over(in_class.rowsBetween(*whole)).alias("had"))
             .withColumn("new", F.expr("first AND had = 0"))
             .select(
@@ -264,49 +287,53 @@ class TextIndex:
             )
             .where("first OR (mine AND classes > 1)")
             .withColumn("heads", F.collect_list(F.expr(f"IF({several}, struct(cls AS other_cls, id AS other, n AS other_n), NULL)")).over(under.rowsBetween(*whole)))
-            .select("tok", "id", "n", "cls", "mine", "first", "new", "place", "classes", F.expr("IF(mine, heads, NULL)").alias("heads"))
+            .select("tok", "id", "n", "cls", "mine", "first", "new", (F.col("place") > CLASSES + 1).alias("beyond"), (F.col("classes") > CLASSES).alias("standing"), F.expr("IF(mine, heads, NULL)").alias("heads"))
         )
         placed = written(placed)
         pairs = placed.where("size(heads) > 0").select("id", "n", "cls", F.explode("heads").alias("h")).select("id", "n", "cls", "h.*").where("cls <> other_cls")
-        standing, alike = TextIndex._alike(placed.where(F.col("classes") > CLASSES))
-        candidates = _candidates(_counted(pairs), standing)
-        return [links, _verified(candidates if alike is None else candidates.unionByName(alike), bodies)], placed
+        texts, rare, alike = TextIndex._alike(placed.where("standing"))
+        candidates = _candidates(_counted(pairs), texts.where("n_standing > 0").select("id", "n_standing"))
+        more = _verified(candidates if alike is None else candidates.unionByName(alike), bodies)
+        discard(texts, rare)
+        return [links, more], placed
 
     @staticmethod
-    def _alike(hot: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Of the rows of standing phrases: (id, n_standing) of the batch's texts, and the candidates (id, other, shared, share) by them.
+    def _alike(hot: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """Of the rows of standing phrases: the texts under them (id, n_standing, ...), their rarest tokens, and the candidates (id, other, shared, share) by these.
 
         A pair has ``STANDING_SHARE`` of the larger text's tokens in common, so both texts consist of standing
         phrases by as much, and they meet in one that is among the rarest of both: of m, all but the most frequent,
         fewer than the tokens needed. No pair is missed by this, whatever the number of texts under a token.
         """
         needed = F.ceil(F.col("n") * STANDING_SHARE)
-        counts = written(hot.groupBy("id").agg(F.max("n").alias("n"), F.count(F.expr("IF(mine, 1, NULL)")).alias("n_standing"), F.count(F.expr("IF(first, 1, NULL)")).alias("n_first")))
-        standing = counts.where("n_standing > 0").select("id", "n_standing")
-        mostly = counts.where((F.col("n_standing") >= needed) | (F.col("n_first") >= needed)).select("id", "n_standing", "n_first")
-        rows = written(hot.drop("heads").join(mostly, "id"))
-        new, known = rows.where(F.col("mine") & (F.col("n_standing") >= needed)), rows.where(F.col("first") & (F.col("n_first") >= needed))
-        if new.isEmpty():
-            return standing, None
-        often = known.groupBy("tok").agg(F.count("*").alias("often"))
-
-        def rarest(side: DataFrame) -> DataFrame:
-            text = W.partitionBy("id")
-            ranked = side.join(often, "tok").select("tok", "id", "n", "cls", F.row_number().over(text.orderBy("often", "tok")).alias("k"), F.count("*").over(text).alias("m"))
-            return ranked.where(F.col("k") <= F.col("m") - needed + 1).select("tok", "id", "n", "cls")
-
-        theirs = rarest(known).select("tok", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("cls").alias("other_cls"))
-        pairs = rarest(new).join(theirs, "tok").where("cls <> other_cls").select("id", "n", "other", "other_n").distinct()
-        a = new.groupBy("id").agg(F.collect_set("tok").alias("a"))
-        b = known.groupBy(F.col("id").alias("other")).agg(F.collect_set("tok").alias("b"))
-        enough = F.size(F.array_intersect("a", "b")) >= F.greatest("n", "other_n") * STANDING_SHARE
-        return standing, pairs.join(a, "id").join(b, "other").where(enough).select("id", "other", F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("share"))
-
-    def _append(self, met: DataFrame, placed: DataFrame, stored: DataFrame | None, roots: DataFrame) -> None:
+        # a text's rows are moved once; its class only where it isn't the text itself
+        moved = hot.select("tok", "id", "n", F.expr("NULLIF(cls, id)").alias("cls"), "mine", "first").repartition("id")
+        texts = moved.groupBy("id").agg(F.max("n").alias("n"), F.coalesce(F.min("cls"), "id").alias("cls"), *[F.collect_list(F.expr(f"IF({kind}, tok, NULL)")).alias(kind) for kind in ("mine", "first")])
+        texts = written(texts.select("id", "n", "cls", F.size("mine").alias("n_standing"), *[F.when(F.size(kind) >= needed, F.col(kind)).alias(kind) for kind in ("mine", "first")]))
+        if texts.where("mine IS NOT NULL").isEmpty():
+            return texts, None, None
+        # in the batch's texts and in the first ones of their classes (most texts of a batch are both) the rarest tokens, by the latter
+        rows = texts.select(F.explode(F.array_union(*[F.coalesce(kind, F.array().cast("array<bigint>")) for kind in ("mine", "first")])).alias("tok"), "*")
+        rows = rows.select("tok", "id", "n", "cls", *[F.expr(f"IF(array_contains({kind}, tok), 1, 0)").alias(kind) for kind in ("mine", "first")])
+        rows = rows.withColumn("often", F.sum("first").over(W.partitionBy("tok"))).where("often > 0")
+        text = W.partitionBy("id").orderBy("often", "tok")
+        for kind in ("mine", "first"):
+            k, m = F.sum(kind).over(text.rowsBetween(W.unboundedPreceding, 0)), F.sum(kind).over(text.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+            rows = rows.withColumn(f"k_{kind}", k).withColumn(f"m_{kind}", m)
+        is_rare = {kind: (F.col(kind) == 1) & (F.col(f"k_{kind}") <= F.col(f"m_{kind}") - needed + 1) for kind in ("mine", "first")}
+        rare = written(rows.where(is_rare["mine"] | is_rare["first"]).select("tok", "id", "n", "cls", "m_mine", "m_first", *[rare.alias(kind) for kind, rare in is_rare.items()]))
+        new = rare.where("mine").select("tok", "id", "n", "cls", F.col("m_mine").alias("m"))
+        known = rare.where("first").select("tok", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("cls").alias("other_cls"), F.col("m_first").alias("other_m"))
+        wanted = F.greatest("n", "other_n") * STANDING_SHARE
+        met = new.join(known, "tok").where("cls <> other_cls").where(F.least("m", "other_m") >= wanted).select("id", "n", "other", "other_n")
+        pairs = met.repartition("id").distinct().join(texts.where("mine IS NOT NULL").select("id", F.col("mine").alias("a")), "id")
+        pairs = pairs.join(texts.where("first IS NOT NULL").select(F.col("id").alias("other"), F.col("first").alias("b")), "other").where(F.size(F.array_intersect("a", "b")) >= wanted)
+        return texts, rare, pairs.select("id", "other", F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("share"))
+
+    def _append(self, wholes: DataFrame, placed: DataFrame, stored: DataFrame | None, roots: DataFrame) -> None:
         # the first text of each class that a token didn't have
-        rows = placed.where("new").select("tok", "id", "n", (F.col("place") > CLASSES + 1).alias("beyond"))
-        rows.repartition(self.buckets, "tok").write.insertInto(self.tokens_name)
-        rooted = met.drop("root").join(roots, "id", "left").withColumn("root", F.least("id", "root"))
+        placed.where("new").select("tok", "id", "n", "beyond").write.insertInto(self.tokens_name)
+        rooted = wholes.drop("root").join(roots, "id", "left").withColumn("root", F.least("id", "root"))
         rooted.select("whole", "id", "root", "n", "copies", "head_low", "head_high", "spoken").repartition(self.buckets, "whole").write.insertInto(self.wholes_name)
         roots.where("root <> id").repartition(self.buckets, "id").write.insertInto(self.roots_name)
         if stored is not None:  # classes of the index that the batch has drawn together

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,4 +55,30 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/covertrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
     removed_at_exit(spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove what ``written`` wrote for ``tables`` before the session's end. Nothing that reads them may be run any more."""
+    for df in tables:
+        if df is not None:
+            sc = df.sparkSession.sparkContext
+            target = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within this, the shuffle files of a statement are removed as it ends, not when the driver happens to collect its garbage.
+
+    For statements whose results are written: a DataFrame that is itself run twice makes its shuffles again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

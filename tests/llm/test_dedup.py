@@ -1,7 +1,11 @@
 import random
+import time
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
+from covertrace import session
 from covertrace.llm import batch_dedup as bd
 from covertrace.llm.anchors import anchors, skeleton
 
@@ -131,6 +135,35 @@ def test_batches_are_appended_and_history_is_not_read_again(spark, tmp_path, mon
     assert read == [3, 2, 1]  # each batch alone is tokenised
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_shuffle_files_go_with_their_statement(spark, tmp_path):
+    dirs = [d.toString() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+    before, set_before = shuffled(), spark.conf.get(CLEANUP, None)
+    with session.shuffles_removed(spark):
+        spark.range(10000).repartition(4, "id").write.parquet(str(tmp_path / "out"))
+    time.sleep(1)  # executors remove their files by themselves
+    assert shuffled() <= before and spark.conf.get(CLEANUP, None) == set_before
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10000
+
+
+def test_what_is_not_read_again_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    real, seen, set_before = bd.written, [], spark.conf.get(CLEANUP, None)
+    monkeypatch.setattr(bd, "written", lambda df: seen.append(spark.conf.get(CLEANUP)) or real(df))
+    phrases = story(500, 10).removesuffix(".").split(". ")
+    mk = lambda ids: spark.createDataFrame([(i, f"H {i}", f"{story(i, 20)} {phrases[i % 10]}. {phrases[(i + 1) % 10]}.", "x") for i in ids], SCHEMA)
+    accepted, index = mk(range(1, 121)), bd.TextIndex(spark, str(tmp_path / "index"))
+    for batch in (accepted, mk(range(200, 260))):
+        found = index.accept(batch, accepted)
+        kept = [p for p in tmp_path.rglob("*.parquet") if p.is_file() and "index" not in p.parts]
+        assert not {"toks", "heads", "words", "mine"} & {c for p in kept for c in pq.read_schema(p).names}
+        assert rows(found) == rows(found) == []  # what it returns can still be read, and again
+    assert set(seen) == {"true"} and spark.conf.get(CLEANUP, None) == set_before
+
+
 def test_the_index_is_probed_without_moving_it(spark, monkeypatch):
     monkeypatch.setattr(bd, "BUCKETS", 8)
     index = bd.TextIndex.temporary(spark)
