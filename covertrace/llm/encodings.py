@@ -9,7 +9,7 @@ from itertools import groupby
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covertrace.session import written
@@ -302,10 +302,6 @@ class Restorer:
         return bool(chains) or lost or bool(_LOST.search(self._bare(text, language))), restored, " ".join([*sorted(chains), *["lost"] * lost])
 
 
-def suspect(column: str) -> Column:
-    return F.col(column).rlike(SUSPECT)
-
-
 class Dictionaries(dict):
     """Dictionaries by language, with the words of the texts they were made from."""
 
@@ -329,9 +325,12 @@ def _rows(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[tuple[
 
 
 def _train_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The dictionary of each block of texts, which come one block after another, and in how many of them each word stands."""
+    """The dictionary of each block's sound texts, which come one block after another, and in how many of them each word stands."""
     for (language, block), found in groupby(_rows(batches, "body_text"), lambda row: row[0]):
-        texts = [text for _, text in found]
+        # the pattern is searched here, as the JVM takes many times as long over it
+        texts = [text for _, text in found if not _SUSPECT.search(text)]
+        if not texts:
+            continue
         words = Counter(w for text in texts for w in set(_LETTER_RUN.findall(text.lower())))
         row = (language, block, _trained([text.encode() for text in texts]), len(texts), [{"word": w, "n": n} for w, n in words.items()])
         yield pd.DataFrame([row], columns=["language", "block", "dictionary", "texts", "words"])
@@ -359,11 +358,11 @@ def train_dictionaries(articles: DataFrame) -> Dictionaries:
     for name, n in counts:
         blocks = F.when(F.col("language") == name, F.lit(-(-n // DICTIONARY_TEXTS))).otherwise(blocks)
     texts = articles.select(language.alias("language"), "body_text", F.xxhash64("id").alias("h"))
-    sound = texts.where(F.col("language").isin(*LANGUAGES) & (F.length("body_text") > 200) & ~suspect("body_text"))
+    bodies = texts.where(F.col("language").isin(*LANGUAGES) & (F.length("body_text") > 200))
     # the number of tasks is set, as the bytes moved are too few for it to follow from them
     tasks = 4 * articles.sparkSession.sparkContext.defaultParallelism
     in_order = lambda df, *by: df.repartition(tasks, "language", "block").sortWithinPartitions("language", "block", *by)
-    trained = written(in_order(sound.withColumn("block", F.pmod("h", blocks)), "h", "body_text").mapInPandas(_train_texts, TRAINED))
+    trained = written(in_order(bodies.withColumn("block", F.pmod("h", blocks)), "h", "body_text").mapInPandas(_train_texts, TRAINED))
     totals = trained.groupBy("language").agg(F.sum("texts").alias("texts"))
     counted = trained.select("language", F.explode("words").alias("w")).groupBy("language", "w.word").agg(F.sum("w.n").alias("n"))
     known = counted.join(F.broadcast(totals), "language").where(F.col("n") * DICTIONARY_TEXTS >= F.col("texts"))

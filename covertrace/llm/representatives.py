@@ -34,6 +34,7 @@ _WHOLE_END = re.compile(r"[.!?]\s*$")
 _CUT_END = re.compile(r"(?:…|\.\.\.)\s*$")
 _TEXT_END = re.compile(r"[.!?][\"”»“«’')\]]*\s*$")
 _MARKS = ".!?…"
+_MARKS_OR_BLANKS = _MARKS + " \n"
 
 
 def _hash(words: list[str]) -> int:
@@ -47,6 +48,9 @@ def _bit(words: list[str]) -> int:
 
 
 def _words(sentence: str) -> list[str]:
+    bare = sentence.rstrip(_MARKS_OR_BLANKS)
+    if not ("." in bare or "!" in bare or "?" in bare or "…" in bare):  # as in most
+        return bare.split()
     return [w for w in (p.strip(_MARKS) for p in sentence.split()) if w]
 
 

@@ -110,6 +110,17 @@ def test_every_sound_text_counts_in_the_dictionaries(spark, monkeypatch):
     assert {"fartøjet", "auktionen"} <= found.words and not found.words & {named(k) for k in range(40)}
 
 
+def test_dictionaries_tell_sound_texts_in_the_workers(spark, monkeypatch):
+    plans, write = [], encodings.written
+    monkeypatch.setattr(encodings, "written", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
+    damaged = SOUND[1][1].encode().decode("cp1252")
+    data = [(k, "da", f"{SOUND[1][1] * 2} Kajplads{'xyz'[k % 3]}") for k in range(6)] + [(k, "da", damaged * 3 + " Strandgods") for k in range(6, 12)] + [(12, "fr", damaged * 3)]
+    found = encodings.train_dictionaries(spark.createDataFrame(data, "id long, language string, body_text string"))
+    # the JVM takes many times as long over the pattern
+    assert plans and not any("RLIKE" in plan for plan in plans)
+    assert set(found) == {"da"} and "strandgods" not in found.words and {"kajpladsx", "kajpladsz"} <= found.words
+
+
 def test_no_text_is_kept_aside_when_a_dictionary_is_trained():
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)]
