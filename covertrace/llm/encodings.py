@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import pandas as pd
@@ -92,25 +94,27 @@ def _letters(encoding: str) -> set[str]:
 _READABLE = set(USUAL).union(*(_letters(e) for e in READ_AS)) | {chr(c) for c in range(0x80, 0xA0)}
 
 
+def _controls(error: UnicodeError) -> tuple[bytes, int]:
+    """Control characters beyond ASCII as their bytes."""
+    kept = error.object[error.start : error.end]
+    if all(0x80 <= ord(ch) < 0xA0 for ch in kept):
+        return kept.encode("latin_1"), error.end
+    raise error
+
+
+codecs.register_error("covertrace_controls", _controls)
+
+
 def to_bytes(text: str, encoding: str) -> bytes | None:
     """The bytes that were read as ``text``; unassigned bytes stand as control characters. None where there are none."""
     try:
-        return text.encode(encoding)
+        return text.encode(encoding, "covertrace_controls")
     except UnicodeEncodeError:
-        pass
-    out = bytearray()
-    for ch in text:
-        try:
-            out += ch.encode(encoding)
-        except UnicodeEncodeError:
-            if 0x80 <= ord(ch) < 0xA0:
-                out.append(ord(ch))
-            else:
-                return None
-    return bytes(out)
+        return None
 
 
-def undo_utf8(run: str, double: bool = False) -> list[tuple[str, str]]:
+@lru_cache(maxsize=65_536)  # runs repeat
+def undo_utf8(run: str, double: bool = False) -> tuple[tuple[str, str], ...]:
     """(chain, text) of each reading of a run of letters beyond ASCII as UTF-8 that was read in another encoding (``double``: in one of two bytes too, as in Latin script)."""
     found: dict[str, str] = {}
     for encoding in (*READ_AS, *READ_AS_TOO, *(READ_AS_DOUBLE if double else ())):
@@ -125,14 +129,15 @@ def undo_utf8(run: str, double: bool = False) -> list[tuple[str, str]]:
         many = encoding not in READ_AS_DOUBLE and (not double or len(text) >= FOREIGN_LETTERS)
         if text != run and len(text) < len(run) + (encoding in READ_AS_DOUBLE) and all(ch in _READABLE or ch < "\x80" or (many and ch.isalpha()) for ch in text):
             found.setdefault(text, f"{encoding}>utf-8")
-    return [(chain, text) for text, chain in found.items()]
+    return tuple((chain, text) for text, chain in found.items())
 
 
 class Weigher:
-    """Description length of a text under the dictionary of its language."""
+    """Description length of a text under the dictionary of its language; sizes are held until ``forget``."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.compressors = {}
+        self.held: dict[tuple[str, str], int] = {}
         for language, data in dictionaries.items():
             d = zstandard.ZstdCompressionDict(data) if data[:4] == b"\x37\xa4\x30\xec" else zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
@@ -141,7 +146,13 @@ class Weigher:
             self.compressors[""] = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     def size(self, text: str, language: str) -> int:
-        return len(self.compressors[language].compress(text.encode("utf-8", "surrogatepass")))
+        size = self.held.get((text, language))
+        if size is None:
+            size = self.held[text, language] = len(self.compressors[language].compress(text.encode("utf-8", "surrogatepass")))
+        return size
+
+    def forget(self) -> None:
+        self.held.clear()
 
     def language(self, text: str) -> str:
         """The language whose dictionary describes ``text`` most shortly."""
@@ -229,7 +240,7 @@ class Restorer:
         letters = sum(ch.isalpha() for ch in piece)
         double = 2 * sum(ch.isascii() and ch.isalpha() for ch in piece) >= letters
         for _ in range(DEEPEST):
-            options: dict[str, list[tuple[str, str]]] = {}
+            options: dict[str, tuple[tuple[str, str], ...]] = {}
             for run in set(_RUN.findall(piece)):
                 if found := undo_utf8(run, double):
                     options[run] = found
@@ -252,36 +263,47 @@ class Restorer:
 
     def _single(self, piece: str, language: str, chains: set[str]) -> str:
         """``piece`` moved from one single-byte encoding to another, wholly or its suspect words, if that saves enough."""
-        size, odd, marks = self.weigher.size(piece, language), len(_IN_WORD.findall(piece)), len(_SUSPECT.findall(piece))
+        odd, marks = len(_IN_WORD.findall(piece)), len(_SUSPECT.findall(piece))
         best, best_chain, least = piece, "", 0
-        for wrong, right in ((w, r) for w in READ_AS for r in TRULY_SINGLE if w != r):
-            for tried in self._moved(piece, wrong, right):
-                left = len(_SUSPECT.findall(tried))
-                if tried == piece or left >= marks or any(ch == "\ufffd" or 0x80 <= ord(ch) < 0xA0 for ch in tried):
-                    continue
-                cost = self.weigher.size(tried, language)
-                needed = IN_WORD_COST if odd and not _IN_WORD.search(tried) else SINGLE_COST
-                if cost + needed <= size and (not best_chain or cost + left < least):
-                    best, best_chain, least = tried, f"{wrong}>{right}", cost + left
+        seen = {piece}
+        for chain, tried in self._moved(piece):
+            if tried in seen:  # weighed before, under another chain
+                continue
+            seen.add(tried)
+            left = len(_SUSPECT.findall(tried))
+            if left >= marks or any(ch == "\ufffd" or 0x80 <= ord(ch) < 0xA0 for ch in tried):
+                continue
+            cost = self.weigher.size(tried, language)
+            needed = IN_WORD_COST if odd and not _IN_WORD.search(tried) else SINGLE_COST
+            if cost + needed <= self.weigher.size(piece, language) and (not best_chain or cost + left < least):
+                best, best_chain, least = tried, chain, cost + left
         if best_chain:
             chains.add(best_chain)
         return best
 
     @staticmethod
-    def _moved(piece: str, wrong: str, right: str) -> list[str]:
-        """``piece`` as a whole in the other encoding, and with only its suspect words in it."""
-        raw = to_bytes(piece, wrong)
-        out = [] if raw is None else [raw.decode(right, "replace")]
+    def _moved(piece: str) -> Iterator[tuple[str, str]]:
+        """(chain, text): ``piece`` as a whole in another encoding, and with only its suspect words in it."""
         words = piece.split(" ")
-        for k, word in enumerate(words):
-            if _SUSPECT.search(word) and (raw := to_bytes(word, wrong)) is not None:
-                words[k] = raw.decode(right, "replace")
-        return [*out, " ".join(words)]
+        suspects = [k for k, word in enumerate(words) if _SUSPECT.search(word)]
+        for wrong in READ_AS:
+            whole = to_bytes(piece, wrong)
+            apart = [(k, raw) for k in suspects if (raw := to_bytes(words[k], wrong)) is not None]
+            for right in TRULY_SINGLE:
+                if right == wrong:
+                    continue
+                if whole is not None:
+                    yield f"{wrong}>{right}", whole.decode(right, "replace")
+                moved = words.copy()
+                for k, raw in apart:
+                    moved[k] = raw.decode(right, "replace")
+                yield f"{wrong}>{right}", " ".join(moved)
 
     def restore(self, text: str | None) -> tuple[bool, str | None, str]:
         """(whether damaged, the text as far as it can be restored, the chains undone)."""
-        if not text or not _SUSPECT.search(text):
+        if not text or not _SUSPECT.search(text) or not _SUSPECT.search(self._bare(text)):
             return False, text, ""
+        self.weigher.forget()
         language = self.weigher.language(text)
         if not _SUSPECT.search(self._bare(text, language)):
             return False, text, ""

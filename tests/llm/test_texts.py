@@ -92,6 +92,35 @@ def test_lost_letters_count(restorer):
     assert restorer.restore("r�kobolt fra havnen")[0] and restorer.restore("r?kobolt fra havnen")[0] and not restorer.restore("Why? Because.")[0]
 
 
+def test_a_reading_is_weighed_once(restorer, monkeypatch):
+    weighed = []
+
+    class Counted:
+        def __init__(self, language, compressor):
+            self.language, self.compressor = language, compressor
+
+        def compress(self, data):
+            weighed.append((self.language, data))
+            return self.compressor.compress(data)
+
+    monkeypatch.setattr(restorer.weigher, "compressors", {lang: Counted(lang, c) for lang, c in restorer.weigher.compressors.items()})
+    for right, wrong in CHAINS:
+        damaged = SOUND[1][1].encode(right).decode(wrong, "replace")
+        weighed.clear()
+        assert restorer.restore(damaged)[0] and weighed and len(weighed) == len(set(weighed))
+    weighed.clear()
+    # sound in itself, in whatever language it is
+    assert not restorer.restore("The card reads Северный порт, she said.")[0] and not weighed
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("aéÃ¸\x80\x9f\xa0“ЖяΩ漢あ�\ud800")))
+def test_bytes_are_those_of_each_character(text):
+    for encoding in (*encodings.READ_AS, *encodings.READ_AS_TOO, *encodings.READ_AS_DOUBLE, "latin_1"):
+        each = [ch.encode(encoding, "ignore") or (ch.encode("latin_1") if "\x80" <= ch < "\xa0" else None) for ch in text]
+        assert encodings.to_bytes(text, encoding) == (None if None in each else b"".join(each))
+
+
 def test_damaged_fields(spark):
     data = [(i, t, lang, t * 3, "x") for i, (lang, t) in enumerate(SOUND * 3)] + [(90, SOUND[1][1].encode().decode("cp1252"), "da", None, "x"), (91, None, None, "f�r", "x")]
     df = spark.createDataFrame(data, "id long, headline string, language string, body_text string, restored string")
